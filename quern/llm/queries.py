@@ -8,13 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import read
+from quern.llm import host_rules, language_id, secrets
+from quern.llm.common import fold, read
 from quern.llm.piece_bpe import encode_pieces
 from quern.llm.token_counts import count_tokens
 
 TOKEN_LIMIT = 1024
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 3, 1)
+    found = language_id.label_spans(docs, language_id.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = host_rules.judge(read(spark, sf_dir, "documents"))
+    return kept.withColumn("host_rate", F.round("host_rate", 9))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan_secrets(read(spark, sf_dir, "documents")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -34,8 +51,9 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_token_counts": op8_token_counts, "op9_sentencepiece": op9_sentencepiece}
+    found = [op1_language_id, op2_quality_rules, op3_secret_scan, op8_token_counts, op9_sentencepiece]
+    return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": host_rules.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql()}
