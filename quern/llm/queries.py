@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import host_rules, language_id, secrets
+from quern.llm import host_rules, language_id, secrets, simhash
 from quern.llm.common import fold, read
 from quern.llm.piece_bpe import encode_pieces
 from quern.llm.token_counts import count_tokens
@@ -32,6 +32,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -51,7 +56,7 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_quality_rules, op3_secret_scan, op8_token_counts, op9_sentencepiece]
+    found = [op1_language_id, op2_quality_rules, op3_secret_scan, op7_simhash, op8_token_counts, op9_sentencepiece]
     return {query.__name__: query for query in found}
 
 
