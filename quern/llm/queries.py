@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import host_rules, language_id, secrets, simhash
+from quern.llm import decontaminate, host_rules, language_id, secrets, sentence_spans, simhash
 from quern.llm.common import fold, read
 from quern.llm.piece_bpe import encode_pieces
 from quern.llm.token_counts import count_tokens
@@ -32,6 +32,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_spans.drop_repeated_spans(read(spark, sf_dir, "documents"))
+    cut = F.aggregate("removed", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", F.size("removed").alias("n_spans"), cut.alias("n_removed_chars"), "text")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,7 +66,7 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_quality_rules, op3_secret_scan, op7_simhash, op8_token_counts, op9_sentencepiece]
+    found = [op1_language_id, op2_quality_rules, op3_secret_scan, op4_decontamination, op6_substring_dedup, op7_simhash, op8_token_counts, op9_sentencepiece]
     return {query.__name__: query for query in found}
 
 
