@@ -189,5 +189,5 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     linked = roots.join(least, "fp")
     heads = linked.groupBy("root").agg(F.min("rep").alias("head"))
     moved = linked.join(heads, "root").select("fp", "head")
-    named = least.join(moved, "fp", "left").select("fp", F.coalesce("head", "rep").alias("component_id"))
+    named = written(least.join(moved, "fp", "left").select("fp", F.coalesce("head", "rep").alias("component_id")), "simhash-named")
     return docs.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
