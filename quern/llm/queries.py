@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, host_rules, language_id, secrets, sentence_spans, simhash
+from quern.llm import decontaminate, host_rules, language_id, secrets, sentence_spans, simhash, toxicity
 from quern.llm.common import fold, read
 from quern.llm.piece_bpe import encode_pieces
 from quern.llm.token_counts import count_tokens
@@ -56,6 +56,14 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encode_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4, 2)
+    langs = language_id.train(docs, ~held_out, most_docs=1000)
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out, langs)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def piece_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select(
         "doc_id",
@@ -66,7 +74,7 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_quality_rules, op3_secret_scan, op4_decontamination, op6_substring_dedup, op7_simhash, op8_token_counts, op9_sentencepiece]
+    found = [op1_language_id, op2_quality_rules, op3_secret_scan, op4_decontamination, op6_substring_dedup, op7_simhash, op8_token_counts, op9_sentencepiece, op10_toxicity]
     return {query.__name__: query for query in found}
 
 
