@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, host_rules, language_id, secrets, sentence_spans, simhash, toxicity
+from quern.llm import context_mixing, decontaminate, host_rules, language_id, secrets, sentence_spans, simhash, toxicity
 from quern.llm.common import fold, read
 from quern.llm.piece_bpe import encode_pieces
 from quern.llm.token_counts import count_tokens
@@ -36,6 +36,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 7, 2)
+    found = context_mixing.score_texts(read(spark, sf_dir, "documents"), ~held_out)
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        (F.col("bits") / F.col("n_coded")).alias("bits_per_byte"),
+    )
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentence_spans.drop_repeated_spans(read(spark, sf_dir, "documents"))
     cut = F.aggregate("removed", F.lit(0), lambda n, s: n + s["end"] - s["start"])
@@ -74,7 +89,7 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_quality_rules, op3_secret_scan, op4_decontamination, op6_substring_dedup, op7_simhash, op8_token_counts, op9_sentencepiece, op10_toxicity]
+    found = [op1_language_id, op2_quality_rules, op3_secret_scan, op4_decontamination, op5_lm_scoring, op6_substring_dedup, op7_simhash, op8_token_counts, op9_sentencepiece, op10_toxicity]
     return {query.__name__: query for query in found}
 
 
