@@ -1,11 +1,85 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, secret scan and SentencePiece encoding."""
+"""The corpus pipeline over ``documents``: language ID, near-dedup, decontamination, secret scan, SentencePiece ids.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next
+stage; all but the last return the columns of ``documents``. Rows with nulls, empty tables and repeated rows pass
+through as each operator's docstring says; a null text is rejected by the first stage, as it has no language.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import decontaminate, language_id, secrets, simhash
+from quern.llm.common import read, written
+from quern.llm.piece_bpe import encode_pieces
+
+#: A text is rejected if no language holds so much of its labelled spans.
+LEAST_SHARE = 0.5
+
+#: Stages that compare documents by id or redact texts cannot be told in SQL as a whole.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with one language in at least half of their text; undetermined ones go.
+
+    Decisions are joined to the documents by id; for rows that share an id, the best score decides.
+    """
+    model = language_id.train(docs, F.lit(True))
+    found = language_id.label_spans(docs, model).filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SHARE))
+    return with_ids(docs, found.select("doc_id"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one with the least id, or any one row if no row has an id."""
+    found = simhash.near_duplicates(docs)
+    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    kept = with_ids(docs, heads)
+    repeated = docs.groupBy("doc_id").count().filter("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return with_ids(docs, found.filter("NOT contaminated").select("doc_id"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each span of a secret replaced; n_chars follows."""
+    found = secrets.scan_secrets(docs, keep=docs.columns)
+    text = secrets.redact(F.col("text"), F.col("spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every document."""
+    found = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids``, null ids included; the ids are written first, so they are read once."""
+    ids = written(ids.distinct().select(F.col("doc_id").alias("of")), "kept-ids")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["of"]), "left_semi")
+
+
+STAGES = [
+    ("language", keep_known_languages),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("pieces", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"pipeline-{name.replace(' ', '-')}")
     return docs

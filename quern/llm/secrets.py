@@ -108,20 +108,24 @@ def most_parts(bits: float) -> int:
     return math.floor(1000 * WINDOW * (math.log2(WINDOW) - bits))
 
 
-def scan_secrets(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, spans) for every row of ``df``; spans holds (start, end, rank, kind) in order."""
-    text = F.col("text")
-    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def scan_secrets(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """(id, spans) for every row of ``df``; spans holds (start, end, rank, kind) in order.
+
+    ``keep`` names columns to return in place of the id alone, for callers that go on with the rows.
+    """
+    kept = keep or [id_col]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     always = lambda hit: F.lit(True)
     base = F.concat(
         matches(text, ASSIGN, "assign", lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 8),
         matches(text, ACCESS, "access", lambda hit: F.length(hit) >= 16),
         matches(text, LONG_HEX, "hex", always),
     )
-    found = rows.select(id_col, base.alias("base"), matches(text, CANDIDATE, "entropy", is_secret).alias("more"))
+    found = df.select(F.struct(*kept).alias("row"), base.alias("base"), matches(text, CANDIDATE, "entropy", is_secret).alias("more"))
     apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     ordered = F.array_sort(F.transform(F.concat("base", apart), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return found.select(id_col, F.transform(ordered, lambda s: F.struct(s["start"], s["end"], s["rank"], s["kind"])).cast(f"array<{SPAN}>").alias("spans"))
+    spans = F.transform(ordered, lambda s: F.struct(s["start"], s["end"], s["rank"], s["kind"])).cast(f"array<{SPAN}>")
+    return found.select("row.*", spans.alias("spans"))
 
 
 def joined(spans: Column) -> Column:
