@@ -11,6 +11,7 @@ SEMANTICS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.ansi.doubleQuotedIdentifiers": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.groupByAliases": "true",
 }
 
 #: Settings that decide speed only. A cluster's own values win over these.

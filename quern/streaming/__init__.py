@@ -1 +1 @@
-
+"""Nothing here: the engine is batch only, over tables of Parquet files."""
