@@ -22,36 +22,44 @@ LEAST_SHARE = 0.5
 ORACLE_SQL = None
 
 
-def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with one language in at least half of their text; undetermined ones go.
+def packed(docs: DataFrame) -> DataFrame:
+    """The text, and the other columns as one, so that none clashes with what an operator adds."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns])
+
 
-    Decisions are joined to the documents by id; for rows that share an id, the best score decides.
-    """
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with one language in at least half of their text; undetermined ones go."""
     model = language_id.train(docs, F.lit(True))
-    found = language_id.label_spans(docs, model).filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SHARE))
-    return with_ids(docs, found.select("doc_id"))
+    found = language_id.label_spans(packed(docs), model, keep=["row", "text"])
+    return unpacked(found.filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SHARE)), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the least id, or any one row if no row has an id."""
     found = simhash.near_duplicates(docs)
     heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    kept = with_ids(docs, heads)
+    # documents always move to their ids: a broadcast of the ids would grow with the corpus
+    kept = docs.join(heads.distinct().withColumnRenamed("doc_id", "_kept_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    return with_ids(docs, found.filter("NOT contaminated").select("doc_id"))
+    rows = packed(docs).withColumn("doc_id", F.col("row.doc_id"))
+    found = decontaminate.contaminated(rows, read(spark, sf_dir, "benchmark"), keep=["row", "text"])
+    return unpacked(found.filter("NOT contaminated"), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each span of a secret replaced; n_chars follows."""
-    found = secrets.scan_secrets(docs, keep=docs.columns)
-    text = secrets.redact(F.col("text"), F.col("spans"))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = secrets.scan_secrets(packed(docs), keep=["row", "text"])
+    clean = unpacked(found.withColumn("text", secrets.redact(F.col("text"), F.col("spans"))), docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +68,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids``, null ids included; the ids are written first, so they are read once."""
-    ids = written(ids.distinct().select(F.col("doc_id").alias("of")), "kept-ids")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["of"]), "left_semi")
-
-
 STAGES = [
     ("language", keep_known_languages),
     ("near duplicates", drop_near_duplicates),

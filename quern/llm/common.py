@@ -63,3 +63,18 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def carried(df: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, list[str], str, str]:
+    """Columns for an Arrow function that returns ``keep`` as they are, whatever their names.
+
+    Returns the rows (k0, k1, ... and the text, once), the names to return from each batch, the text's name, and the
+    types of ``keep`` for a schema.
+    """
+    inner = [f"k{i}" for i in range(len(keep))]
+    rows = [F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)]
+    text = inner[keep.index(text_col)] if text_col in keep else "text"
+    if text == "text":
+        rows.append(F.col(f"`{text_col}`").alias("text"))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*rows), inner, text, kinds

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import text_slices, written
+from quern.llm.common import carried, text_slices, written
 
 Q = 12
 RATE = 0.05
@@ -182,35 +182,43 @@ def contaminated(
     item_id: str = "item_id",
     block_bytes: int = 1 << 20,
     slice_bytes: int = 4 << 20,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(id, contaminated, items) for every row of ``df``; items lists the ids of benchmark items found in its text."""
-    kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
+    """(id, contaminated, items) for every row of ``df``; items lists the ids of benchmark items found in its text.
+
+    ``keep`` names columns to return in place of the id alone, for callers that go on with the rows.
+    """
+    item_kind = benchmark.schema[item_id].dataType.simpleString()
+    keep = keep or [id_col]
     item_type = to_arrow_type(benchmark.schema[item_id].dataType)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def one_pass(probes: Probes) -> DataFrame:
+    def one_pass(probes: Probes, keep: list[str]) -> DataFrame:
+        rows, inner, name, kinds = carried(df, keep, text_col)
         shared = df.sparkSession.sparkContext.broadcast(probes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             probes = shared.value
             for batch in batches:
-                for part in text_slices(batch, "text", slice_bytes):
+                for part in text_slices(batch, name, slice_bytes):
                     items: list[set] = [set() for _ in range(part.num_rows)]
-                    for text, probe in find(probes, *alike(part.column("text"))):
+                    for text, probe in find(probes, *alike(part.column(name))):
                         items[text].add(probes.items[probe])
                     lists = pa.array([sorted(s) for s in items], pa.list_(item_type))
-                    yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=[id_col, "items"])
-
-        return rows.mapInArrow(run, f"`{id_col}` {kind}, items array<{item_kind}>")
-
-    passes = [one_pass(Probes.of(block)) for block in blocks(benchmark.select(item_id, item_text), block_bytes)] or [one_pass(Probes.of([]))]
-    found = passes[0]
-    if len(passes) > 1:
-        hits = [written(p.select(F.col(id_col).alias("of"), F.explode("items").alias("item")), "decontaminate") for p in passes]
-        lists = reduce(DataFrame.union, hits).groupBy("of").agg(F.sort_array(F.collect_set("item")).alias("items"))
-        found = df.select(id_col).join(lists, F.col(id_col).eqNullSafe(F.col("of")), "left")
-        found = found.select(id_col, F.coalesce("items", F.array().cast(f"array<{item_kind}>")).alias("items"))
-    return found.select(id_col, (F.size("items") > 0).alias("contaminated"), "items")
+                    yield pa.RecordBatch.from_arrays([*map(part.column, inner), lists], names=[*keep, "benchmark_items"])
+
+        return rows.mapInArrow(run, f"{kinds}, benchmark_items array<{item_kind}>")
+
+    parts = blocks(benchmark.select(item_id, item_text), block_bytes)
+    first, more = next(parts, []), list(parts)
+    if not more:
+        found = one_pass(Probes.of(first), keep)
+    else:
+        passes = [one_pass(Probes.of(block), [id_col]) for block in [first, *more]]
+        hits = [written(p.select(F.col(id_col).alias("of"), F.explode("benchmark_items").alias("item")), "decontaminate") for p in passes]
+        lists = reduce(DataFrame.union, hits).groupBy("of").agg(F.sort_array(F.collect_set("item")).alias("benchmark_items"))
+        found = df.select(*keep).join(lists, F.col(id_col).eqNullSafe(F.col("of")), "left")
+        found = found.withColumn("benchmark_items", F.coalesce("benchmark_items", F.array().cast(f"array<{item_kind}>")))
+    return found.select(*keep, (F.size("benchmark_items") > 0).alias("contaminated"), F.col("benchmark_items").alias("items"))
 
 
 def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:

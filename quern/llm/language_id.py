@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import text_slices
+from quern.llm.common import carried, text_slices
 
 UND = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -210,20 +210,23 @@ def train(df: DataFrame, keep: Column, most_docs: int = 3000, n_buckets: int = 1
     return LanguageModel(list(langs), logp.astype(np.float32), scripts > 0.001 * np.maximum(1, scripts.sum(axis=0)))
 
 
-def label_spans(df: DataFrame, model: LanguageModel, text_col: str = "text", id_col: str = "doc_id", slice_bytes: int = 8 << 20) -> DataFrame:
+def label_spans(df: DataFrame, model: LanguageModel, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, slice_bytes: int = 8 << 20) -> DataFrame:
     """(id, lang_pred, score, spans) for every row of ``df``.
 
     spans holds (start, end, lang) in characters. lang_pred is the language whose spans hold most characters, and
-    score their share of the characters of all spans.
+    score their share of the characters of all spans. ``keep`` names columns to return in place of the id alone, for
+    callers that go on with the rows.
     """
+    keep = keep or [id_col]
+    rows, inner, name, kinds = carried(df, keep, text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in text_slices(batch, "text", slice_bytes):
+            for part in text_slices(batch, name, slice_bytes):
                 langs, scores, spans = [], [], []
-                texts = [t or "" for t in part.column("text").to_pylist()]
+                texts = [t or "" for t in part.column(name).to_pylist()]
                 for text, found in zip(texts, model.spans(texts) if model.langs else [[] for _ in texts], strict=True):
                     letters: Counter = Counter()
                     for a, b, lang in found:
@@ -233,8 +236,6 @@ def label_spans(df: DataFrame, model: LanguageModel, text_col: str = "text", id_
                     scores.append(letters[lang] / letters.total() if letters else 0.0)
                     spans.append([{"start": a, "end": b, "lang": k} for a, b, k in found])
                 span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], names=[id_col, "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, inner), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], names=[*keep, "lang_pred", "score", "spans"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
