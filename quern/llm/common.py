@@ -65,12 +65,21 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20
         yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession, most_rows: int = 2000) -> None:
+    """Lowers the session's rows in an Arrow batch, where they are more, for functions that hand whole rows on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > most_rows:
+        spark.conf.set(key, str(most_rows))
+
+
 def carried(df: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, list[str], str, str]:
     """Columns for an Arrow function that returns ``keep`` as they are, whatever their names.
 
     Returns the rows (k0, k1, ... and the text, once), the names to return from each batch, the text's name, and the
     types of ``keep`` for a schema.
     """
+    small_batches(df.sparkSession)
     inner = [f"k{i}" for i in range(len(keep))]
     rows = [F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)]
     text = inner[keep.index(text_col)] if text_col in keep else "text"

@@ -86,7 +86,7 @@ class LanguageModel:
     uses: np.ndarray  # scripts x languages, bool
     switch: float = 8.0
     floor: float = 6.0
-    most_words: int = 400_000
+    most_words: int = 250_000
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
     _table: np.ndarray | None = field(default=None, repr=False)
 
@@ -210,7 +210,7 @@ def train(df: DataFrame, keep: Column, most_docs: int = 3000, n_buckets: int = 1
     return LanguageModel(list(langs), logp.astype(np.float32), scripts > 0.001 * np.maximum(1, scripts.sum(axis=0)))
 
 
-def label_spans(df: DataFrame, model: LanguageModel, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, slice_bytes: int = 8 << 20) -> DataFrame:
+def label_spans(df: DataFrame, model: LanguageModel, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, slice_bytes: int = 6 << 20) -> DataFrame:
     """(id, lang_pred, score, spans) for every row of ``df``.
 
     spans holds (start, end, lang) in characters. lang_pred is the language whose spans hold most characters, and
