@@ -30,6 +30,8 @@ from quern.llm.common import carried, text_slices
 UND = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (1, 2, 3, 4)
+#: Words whose n-grams are laid out at once, at about 1 kB each.
+SOME_WORDS = 1 << 14
 
 #: First code point of each script range (Unicode blocks), in order. Fixed values.
 SCRIPT_STARTS = (
@@ -116,7 +118,8 @@ class LanguageModel:
                 if self._table is not None:
                     grown[:first] = self._table[:first]
                 self._table = grown
-            self._table[first:need] = self._score(new)
+            for a in range(0, len(new), SOME_WORDS):
+                self._table[first + a : min(first + a + SOME_WORDS, need)] = self._score(new[a : a + SOME_WORDS])
             rows.update(zip(new, range(first, need), strict=True))
         return np.fromiter(map(rows.__getitem__, words), np.int32, len(words))
 
@@ -192,10 +195,13 @@ def train(df: DataFrame, keep: Column, most_docs: int = 3000, n_buckets: int = 1
                 words.update((lang, w) for w in LETTERS.findall(text))
         for lang in sorted({k for k, _ in words}):
             mine = [(w, n) for (k, w), n in words.items() if k == lang]
-            times = np.array([n for _, n in mine])
-            bucket, owner = gram_buckets([w for w, _ in mine], n_buckets)
-            row = np.bincount(bucket, times[owner], n_buckets + len(SCRIPTS))
-            np.add.at(row, n_buckets + np.array([script(w[0]) for w, _ in mine]), times)
+            row = np.zeros(n_buckets + len(SCRIPTS))
+            for a in range(0, len(mine), SOME_WORDS):
+                some = mine[a : a + SOME_WORDS]
+                times = np.array([n for _, n in some])
+                bucket, owner = gram_buckets([w for w, _ in some], n_buckets)
+                row += np.bincount(bucket, times[owner], len(row))
+                np.add.at(row, n_buckets + np.array([script(w[0]) for w, _ in some]), times)
             seen = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen), pa.array(row[seen].astype(np.int64))], names=["lang", "bucket", "n"])
 
