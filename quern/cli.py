@@ -6,17 +6,31 @@ import argparse
 import sys
 import time
 
+from pyspark.sql import DataFrame
+
 from quern.engine import Engine
 from quern.plans.tokens import statements, text_of
 from quern.session import local_session
 from quern.sources import sinks
 
 
+def show(df: DataFrame, fmt: str, separator: str, out) -> None:
+    if fmt == "console":
+        sinks.console(df, out)
+    elif fmt.endswith("csv"):
+        sinks.csv_stream(df, out, separator, escape=fmt != "plaincsv")
+    else:
+        sinks.null(df)
+
+
 def run(engine: Engine, text: str, fmt: str = "console", separator: str = ",", explain: bool = False, timing: bool = False, out=sys.stdout) -> None:
     if text.strip().startswith("\\d"):
         for column, kind in engine.catalog.describe(text.split()[1]):
             out.write(f"{column} {kind}\n")
         return
+    if text.lstrip().startswith("("):
+        show(engine.sexpr(text), fmt, separator, out)
+        return
     for tokens in statements(text):
         started = time.time()
         said = text_of(tokens)
@@ -26,12 +40,7 @@ def run(engine: Engine, text: str, fmt: str = "console", separator: str = ",", e
             out.write(engine.explain(text_of(tokens[1:])) + "\n")
         else:
             for df in engine.run(said):
-                if fmt == "console":
-                    sinks.console(df, out)
-                elif fmt.endswith("csv"):
-                    sinks.csv_stream(df, out, separator, escape=fmt != "plaincsv")
-                else:
-                    sinks.null(df)
+                show(df, fmt, separator, out)
         if timing:
             out.write(f"Time: {1000 * (time.time() - started):.0f} ms\n")
 

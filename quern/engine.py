@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.plans.dialect import rewrite
 from quern.plans.modules import Modules
+from quern.plans.sexpr import Builder, parse
 from quern.plans.tokens import DialectError, Token, statements
 from quern.session import with_semantics
 from quern.sources.catalog import Catalog
@@ -49,6 +50,10 @@ class Engine:
             raise DialectError("no query in the text")
         return found[-1]
 
+    def sexpr(self, text: str) -> DataFrame:
+        """The DataFrame of a plan written as an s-expression."""
+        return Builder(self.catalog.table).build(parse(text))
+
     def explained(self, tokens: list[Token], mode: str = "formatted") -> str:
         df = self.plan(tokens)
         execution = df._jdf.queryExecution()

@@ -143,3 +143,28 @@ def user_functions(spark, sf_dir):
 @register("x4_p3_struct_columns", "SELECT l_orderkey, l_linenumber, l_quantity * l_tax AS area, 2 * (l_quantity + l_tax) AS edge FROM lineitem")
 def struct_columns(spark, sf_dir):
     return Engine(spark, sf_dir).sql(MODULE + "SELECT l_orderkey, l_linenumber, boxed(l_quantity, l_tax) AS (area, edge) FROM lineitem")
+
+
+@register(
+    "sexpr_top_join",
+    "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON c_nationkey = n_nationkey WHERE o_totalprice > 1000 GROUP BY n_name ORDER BY n DESC, n_name LIMIT 7",
+)
+def sexpr_top_join(spark, sf_dir):
+    text = """(rel project (rel top-sort (rel aggregate (rel join (rel join
+        (rel filter (rel source "orders") (: (> o_totalprice (: 1000.0 f64)) u8))
+        (rel source "customer") ((o_custkey c_custkey)) (inner))
+        (rel source "nation" "n1") ((c_nationkey n_nationkey)) (inner))
+        (keys n_name) (agg n count) (agg total sum o_totalprice))
+        (n desc nulls-default) (n_name asc nulls-default) (limit 7))
+        (n_name n_name) (n n) (total (call round total 2)))"""
+    return Engine(spark, sf_dir).sexpr(text)
+
+
+@register("sexpr_window_union", "SELECT k, CAST(rank() OVER (PARTITION BY p ORDER BY k DESC) AS BIGINT) AS r, CAST(sum(k) OVER (PARTITION BY p ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s FROM (SELECT n_nationkey AS k, n_regionkey AS p FROM nation WHERE NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_nationkey) UNION ALL SELECT s_suppkey + 100, s_nationkey FROM supplier) t")
+def sexpr_window_union(spark, sf_dir):
+    text = """(query (cte 0 (rel union-all
+        (rel project (rel join (rel source "nation") (rel source "region") ((n_nationkey r_regionkey)) (left_anti)) (k (cast n_nationkey i64)) (p n_regionkey))
+        (rel project (rel source "supplier") (k (+ s_suppkey 100)) (p s_nationkey))))
+      (main (rel project (rel window (rel window (rel cte-ref 0) (partition p) (order (k desc nulls-default)) (fn r rank))
+        (partition p) (order (k asc nulls-default)) (frame rows (start unbounded-preceding) (end current-row)) (fn s sum k)) (k k) (r r) (s s))))"""
+    return Engine(spark, sf_dir).sexpr(text)
