@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -46,6 +47,9 @@ class PieceModel:
         self.byte_id = {b: i for i, b in self.byte_of.items()}
         self.unknown = model.unk_id()
         self.silent = {i for i in range(size) if model.is_control(i)}
+        # ids that say the same anywhere, and those that need their neighbours: bytes of longer characters, and unknowns
+        self.said = ["" if i in self.silent else chr(self.byte_of[i]) if i in self.byte_of else p for i, p in enumerate(self.pieces)]
+        self.joint = {i for i, b in self.byte_of.items() if b > 127} | {self.unknown}
         special = self.silent | self.byte_of.keys() | {self.unknown}
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.score = {p: model.get_score(i) for p, i in self.ids.items()}
@@ -162,24 +166,27 @@ class PieceModel:
         """Ids of a text, as the library gives them without begin, end or sampling."""
         if not text:
             return []
-        out: list[int] = []
+        found = _WORDS.findall(MARK + text.replace(" ", MARK))
         words = self._words
-        for word in _WORDS.findall(MARK + text.replace(" ", MARK)):
-            ids = words.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if len(word) <= 48:
-                    if len(words) >= self.most_words:
-                        words.clear()
-                    words[word] = ids
-            out += ids
+        new = set(found).difference(words)
+        for word in new:
+            words[word] = self._word(word)
+        out = list(chain.from_iterable(map(words.__getitem__, found)))
+        if new:
+            for word in new:
+                if len(word) > 48:
+                    del words[word]
+            if len(words) > self.most_words:
+                words.clear()
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of any list of ids: control ids vanish, bytes join into characters, one leading space goes."""
+        pieces, byte_of = self.pieces, self.byte_of
+        if self.joint.isdisjoint(ids):
+            return self._unmarked("".join(map(self.said.__getitem__, ids)), ids)
         out: list[str] = []
         raw = bytearray()
-        pieces, byte_of = self.pieces, self.byte_of
         for i in ids:
             if i in byte_of:
                 raw.append(byte_of[i])
@@ -193,7 +200,10 @@ class PieceModel:
                 out.append(pieces[i])
         if raw:
             out.append(characters(bytes(raw)))
-        text = "".join(out)
+        return self._unmarked("".join(out), ids)
+
+    def _unmarked(self, text: str, ids: list[int]) -> str:
+        pieces, byte_of = self.pieces, self.byte_of
         first = next((i for i in ids if i not in self.silent), None)
         led = first is not None and first not in byte_of and pieces[first].startswith(MARK)
         return (text[1:] if led else text).replace(MARK, " ")
