@@ -75,14 +75,11 @@ def measure(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_
 
 def host_rates(rows: DataFrame) -> DataFrame:
     """(host, n_docs, n_failed, rate): each host's failure rate shrunk by the prior. ``rows`` has host and base_failed."""
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    share = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(
-        (F.sum("n_failed") / F.sum("n_docs")).alias("m"),
-        F.coalesce(F.var_samp(share), F.lit(0.0)).alias("v"),
-    )
-    weight = F.when(F.col("v") <= 0, 1000.0).otherwise(F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.nullif("v", F.lit(0.0)) - 1)))
-    return hosts.crossJoin(prior.withColumn("s", weight)).select("host", "n_docs", "n_failed", ((F.col("n_failed") + F.col("s") * F.col("m")) / (F.col("n_docs") + F.col("s"))).alias("rate"))
+    hosts = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")), "host-sums")
+    m, v = hosts.agg(F.sum("n_failed") / F.nullif(F.sum("n_docs"), F.lit(0)), F.var_samp(F.col("n_failed") / F.col("n_docs"))).first()
+    m, v = m or 0.0, v or 0.0
+    s = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
+    return hosts.withColumn("rate", (F.col("n_failed") + F.lit(s * m)) / (F.col("n_docs") + F.lit(s)))
 
 
 def judge(
@@ -102,7 +99,7 @@ def judge(
     """
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     rows = written(measure(df, text_col, id_col, host_col).withColumn("base_failed", failed), "host-rules")
-    verdicts = written(host_rates(rows), "host-rates").select(F.col("host").alias("of_host"), F.col("rate").alias("host_rate"))
+    verdicts = host_rates(rows).select(F.col("host").alias("of_host"), F.col("rate").alias("host_rate"))
     if verdicts.count() <= broadcast_hosts:
         joined = rows.join(F.broadcast(verdicts), rows["host"].eqNullSafe(verdicts["of_host"]), "left")
     else:

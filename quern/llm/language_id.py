@@ -4,8 +4,8 @@ A word is a run of letters. The script of its first letter narrows the candidate
 script in training; each candidate gets a score from hashed character n-grams. A Viterbi pass over the words of a
 text, with a penalty for each switch of language, labels every word, and neighbours with one label make a span.
 
-Training takes whole labelled texts, ``most_docs`` a language at most (by a hash of the id, so that the choice does
-not depend on the order of rows). Counts are summed on the executors; what comes back is one number for each language
+Training takes whole labelled texts, ``most_docs`` a language at most in expectation (by a hash of id and text, so
+that the choice does not depend on the order of rows, and rows without an id are like others). Counts are summed on the executors; what comes back is one number for each language
 and n-gram bucket, which no corpus can make larger.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0 and no spans; rows without a label or text teach
@@ -182,7 +182,7 @@ def chosen_rows(df: DataFrame, keep: Column, most_docs: int, lang_col: str, id_c
     if not limits:
         return rows.limit(0)
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col(lang_col)]
-    return rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < limit)
+    return rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(1 << 30)) < limit)
 
 
 def train(df: DataFrame, keep: Column, most_docs: int = 3000, n_buckets: int = 1 << 15, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
