@@ -29,10 +29,10 @@ _READ = re.compile(r"""\s*(?:;[^\n]*\n\s*)*(?:(?P<paren>[()])|"(?P<text>(?:[^"\\
 #: Names of types and of nulls orders. Fixed values.
 _TYPES = {"i8": "tinyint", "i16": "smallint", "i32": "int", "i64": "bigint", "u8": "boolean", "bool": "boolean", "f64": "double", "string": "string"}
 _FUNCTIONS: dict[str, Callable[..., Column]] = {
-    "qdb_string_view_sql_like": lambda text, pattern: text.like(pattern),
-    "qdb_substring": scalar.substr,
-    "qdb_date_year": F.year,
-    "qdb_sqrt": F.sqrt,
+    "string_view_sql_like": lambda text, pattern: text.like(pattern),
+    "substring": scalar.substr,
+    "date_year": F.year,
+    "sqrt": F.sqrt,
     "strlen": scalar.strlen,
     "abs": F.abs,
     "round": F.round,
@@ -103,9 +103,10 @@ def column(e) -> Column:
     if head == "if":
         return F.when(column(rest[0]), column(rest[1])).otherwise(column(rest[2]))
     if head == "call":
-        if rest[0] not in _FUNCTIONS:
+        name = re.sub("^[a-z]*db_", "", rest[0])  # internal functions carry a prefix
+        if name not in _FUNCTIONS:
             raise DialectError(f"unknown function: {rest[0]}")
-        return _FUNCTIONS[rest[0]](*[str(x) if isinstance(x, Text) and rest[0].endswith("like") and k else column(x) for k, x in enumerate(rest[1:])])
+        return _FUNCTIONS[name](*[str(x) if isinstance(x, Text) and name.endswith("like") and k else column(x) for k, x in enumerate(rest[1:])])
     if head in _OPERATORS:
         return _OPERATORS[head](*map(column, rest))
     raise DialectError(f"unknown operator: {head}")

@@ -170,3 +170,16 @@ def test_rewrites_hold_with_nulls(spark):
 def test_statistics(engine):
     found = {r["column"]: r for r in engine.catalog.statistics("orders").collect()}
     assert found["o_orderkey"]["n_rows"] == 1500 and found["o_orderkey"]["n_nulls"] == 0 and found["o_orderstatus"]["n_distinct"] == 3
+
+
+def test_sexpr(engine):
+    text = """(rel sort (rel aggregate (rel filter (rel source "nation" "n")
+        (: (&& (call anydb_string_view_sql_like n_name "NATION_1%") (!= |n.n_nationkey| (: 1 i64))) u8)) (keys n_regionkey) (agg n count)) (n_regionkey asc nulls-default))"""
+    want = got(engine, "select n_regionkey, count(*) as n from nation where n_name like 'NATION_1%' and n_nationkey <> 1 group by n_regionkey order by n_regionkey")
+    assert [tuple(r) for r in engine.sexpr(text).collect()] == want
+    nested = '(rel project (rel join (rel source "region") (rel source "nation") ((r_regionkey n_regionkey)) (inner) (> n_nationkey 20)) (k n_nationkey) (s (if (== r_name "ASIA") 1 0)) (t (call substring r_name 0 2)))'
+    assert engine.sexpr(nested).count() == 4
+    assert engine.sexpr('(rel limit (rel source "orders") (limit 3) (offset 2))').count() == 3
+    for bad in ("(rel nothing)", "(rel filter (rel source \"nation\") (call nope 1))", "(rel source", "(query (cte 0 (rel source \"nation\")))"):
+        with pytest.raises(DialectError):
+            engine.sexpr(bad)
