@@ -39,13 +39,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least id, or any one row if no row has an id."""
-    found = simhash.near_duplicates(docs)
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    # documents always move to their ids: a broadcast of the ids would grow with the corpus
-    kept = docs.join(heads.distinct().withColumnRenamed("doc_id", "_kept_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each near-duplicate class: the one with the least id (none comes last), the first of those as read."""
+    rows = simhash.fingerprints(packed(docs), keep=["row", "text"]).withColumn("number", F.monotonically_increasing_id())
+    rows = written(rows, "pipeline-numbered")  # which also settles the numbers
+    id_ = F.col("row.doc_id")
+    least = rows.groupBy("fp").agg(F.min(F.struct(id_.isNull().alias("none"), id_.alias("id"), "number")).alias("rep"))
+    least = written(least, "pipeline-distinct")
+    roots = simhash.roots(least.select("fp"))
+    heads = least.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("rep").alias("head"))
+    # documents always move to their numbers: a broadcast of the numbers would grow with the corpus
+    return unpacked(rows.join(heads.select("head.number").hint("merge"), "number", "left_semi"), docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

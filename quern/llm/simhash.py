@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import text_slices, written
+from quern.llm.common import carried, text_slices, written
 
 BITS = 64
 RADIUS = 4
@@ -55,17 +55,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(over).view(">u8")[0])
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, fp) for every row, fp as a signed 64-bit number."""
+def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """(id, fp) for every row, fp as a signed 64-bit number.
+
+    ``keep`` names columns to return in place of the id alone, for callers that go on with the rows.
+    """
+    name = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
-                found = np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
+            for part in text_slices(batch, name):
+                found = np.array([fingerprint(t) for t in part.column(name).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*map(part.column, inner), pa.array(found.view(np.int64))], names=[*out, "fp"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    if keep:
+        rows, inner, name, kinds = carried(df, keep, text_col)
+        out = keep
+    else:
+        rows, inner, kinds = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], f"id {df.schema[id_col].dataType.simpleString()}"
+        out = inner
+    return rows.mapInArrow(run, f"{kinds}, fp bigint")
 
 
 def masks(places: list[int], radius: int = RADIUS) -> list[int]:
@@ -181,12 +190,16 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b"))).distinct()
 
 
+def roots(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """(fp, root) for the distinct fingerprints that link to another; the rest are classes of their own."""
+    return written(components(links(distinct, hot)), "simhash-roots").withColumnRenamed("node", "fp")
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", hot: int = HOT) -> DataFrame:
     """(id, fp, component_id) for every row of ``df``: the least id of its class."""
     docs = written(fingerprints(df, text_col, id_col), "simhash-fp")
     least = written(docs.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-distinct")
-    roots = written(components(links(least.select("fp"), hot)), "simhash-roots").withColumnRenamed("node", "fp")
-    linked = roots.join(least, "fp")
+    linked = roots(least.select("fp"), hot).join(least, "fp")
     heads = linked.groupBy("root").agg(F.min("rep").alias("head"))
     moved = linked.join(heads, "root").select("fp", "head")
     named = written(least.join(moved, "fp", "left").select("fp", F.coalesce("head", "rep").alias("component_id")), "simhash-named")

@@ -106,3 +106,15 @@ def test_pipeline_on_odd_tables(spark, odd, empty, items, tmp_path):
             docs = corpus_pipeline.written(docs, "test")
         kept = sorted((r["doc_id"] or -1) for r in docs.collect())
         assert kept in ([], [-1, 1, 4], [1, 4, 7], [-1, 1, 4, 7])
+
+
+def numbered_words(k, n=60):
+    return " ".join(f"w{(k * 7919 + i * 104729) % 99991}" for i in range(n))
+
+
+def test_near_duplicates_leave_one_row_of_each_class(spark):
+    a, b, c, d = map(numbered_words, range(4))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (1, d), (2, c), (None, c), (3, None)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, a), (None, b), (1, c), (1, d), (3, None)]))
