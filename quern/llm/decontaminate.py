@@ -11,8 +11,8 @@ q-gram lemma). So:
 3. The regions left are verified by aligning the probe to the text inside the band, with edits counted exactly.
 
 The probes are a broadcast of bounded size: a benchmark is taken in blocks of ``block_bytes`` of text (one item at
-least), with one pass over the documents for each. A usual benchmark is one block, and then nothing is shuffled; the
-hits of several passes are written and joined by id, so rows that share an id then share their items.
+least), with one pass over the documents for each. A usual benchmark is one block, and then nothing is shuffled; for several the
+documents are written with a number for each row, and the hits of the passes are written and joined by that number.
 
 Probes shorter than ``LEAST`` bytes leave no room for an edit and must be found as they are; items without Q bytes are
 left out (they name nothing). Null and empty texts contain nothing. Null ids
@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -192,8 +193,9 @@ def contaminated(
     keep = keep or [id_col]
     item_type = to_arrow_type(benchmark.schema[item_id].dataType)
 
-    def one_pass(probes: Probes, keep: list[str]) -> DataFrame:
-        rows, inner, name, kinds = carried(df, keep, text_col)
+    list_kind = f"array<{item_kind}>"
+
+    def one_pass(probes: Probes, rows: DataFrame, inner: list[str], name: str, names: list[str], kinds: str) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast(probes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,21 +205,27 @@ def contaminated(
                     items: list[set] = [set() for _ in range(part.num_rows)]
                     for text, probe in find(probes, *alike(part.column(name))):
                         items[text].add(probes.items[probe])
-                    lists = pa.array([sorted(s) for s in items], pa.list_(item_type))
-                    yield pa.RecordBatch.from_arrays([*map(part.column, inner), lists], names=[*keep, "benchmark_items"])
+                    lists = pa.array([sorted(s, key=lambda i: (i is not None, i)) for s in items], pa.list_(item_type))
+                    yield pa.RecordBatch.from_arrays([*map(part.column, inner), lists], names=[*names, "benchmark_items"])
 
-        return rows.mapInArrow(run, f"{kinds}, benchmark_items array<{item_kind}>")
+        return rows.mapInArrow(run, f"{kinds}, benchmark_items {list_kind}")
 
+    rows, inner, name, kinds = carried(df, keep, text_col)
     parts = blocks(benchmark.select(item_id, item_text), block_bytes)
-    first, more = next(parts, []), list(parts)
-    if not more:
-        found = one_pass(Probes.of(first), keep)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        found = one_pass(Probes.of(first), rows, inner, name, keep, kinds)
     else:
-        passes = [one_pass(Probes.of(block), [id_col]) for block in [first, *more]]
-        hits = [written(p.select(F.col(id_col).alias("of"), F.explode("benchmark_items").alias("item")), "decontaminate") for p in passes]
-        lists = reduce(DataFrame.union, hits).groupBy("of").agg(F.sort_array(F.collect_set("item")).alias("benchmark_items"))
-        found = df.select(*keep).join(lists, F.col(id_col).eqNullSafe(F.col("of")), "left")
-        found = found.withColumn("benchmark_items", F.coalesce("benchmark_items", F.array().cast(f"array<{item_kind}>")))
+        rows = written(rows.withColumn("number", F.monotonically_increasing_id()), "decontaminate-rows")  # settles the numbers
+        hits = []
+        for block in chain([first, second], parts):
+            found = one_pass(Probes.of(block), rows.select("number", name), ["number"], name, ["number"], "number bigint")
+            hits.append(written(found.select("number", F.explode("benchmark_items").alias("item")), "decontaminate"))
+        # as structs, so that an item without an id stays in the set
+        sets = reduce(DataFrame.union, hits).groupBy("number").agg(F.sort_array(F.collect_set(F.struct("item"))).alias("sets"))
+        lists = sets.select("number", F.col("sets.item").alias("benchmark_items"))
+        found = rows.join(lists, "number", "left").withColumn("benchmark_items", F.coalesce("benchmark_items", F.array().cast(list_kind)))
+        found = found.select(*[F.col(k).alias(c) for k, c in zip(inner, keep, strict=True)], "benchmark_items")
     return found.select(*keep, (F.size("benchmark_items") > 0).alias("contaminated"), F.col("benchmark_items").alias("items"))
 
 

@@ -118,3 +118,17 @@ def test_near_duplicates_leave_one_row_of_each_class(spark):
     docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, a), (None, b), (1, c), (1, d), (3, None)]))
+
+
+def test_benchmark_blocks_give_what_one_block_gives(spark):
+    a, b, c, d, e = map(numbered_words, range(5))
+    rows = [(None, a), (None, b), (None, f"{c} {d}"), (1, e), (1, f"x {a} y {c}"), (2, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    items = spark.createDataFrame([(8, a), (7, c), (None, d), (9, "")], "item_id long, text string")
+    for keep in (["place", "text"], ["place"], None):
+        whole, parts = (decontaminate.contaminated(docs, items, keep=keep, block_bytes=n) for n in (1 << 20, 1))
+        assert parts.dtypes == whole.dtypes
+        key = lambda r: repr(tuple(r))
+        assert sorted(parts.collect(), key=key) == sorted(whole.collect(), key=key)
+        if keep:
+            assert {r["place"]: r["items"] for r in parts.collect()} == {0: [8], 1: [], 2: [None, 7], 3: [], 4: [7, 8], 5: []}
