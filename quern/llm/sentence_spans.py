@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (at sentence marks before white space, and at line ends); a sentence of more than
-``LONG`` words is cut further every LONG words from its start, so that a passage without marks has several units too.
+``LONG`` words is cut further before each word whose hash is the least of the ``NEAR`` words to either side, so that a
+passage without marks has several units too, and the same ones whatever stands before it.
 Every run of at least ``RUN`` consecutive units with at least ``WORDS`` words is hashed: it begins at each unit and
 takes as many units as that needs. Words are compared in lower case and white space does not count.
 
@@ -35,13 +36,23 @@ from quern.llm.common import text_slices, written
 RUN = 3
 WORDS = 16
 LONG = 12
+NEAR = 2
 
 _END = re.compile(r"[.!?]+(?=\s|$)|[。！？]+|\n")
-_PART = re.compile(rf"\S+(?:\s+\S+){{0,{LONG - 1}}}")
+_WORD = re.compile(r"\S+")
+#: More than any hash of a word.
+_OVER = 1 << 64
 
 
-def units(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit of a text."""
+def cuts(words: list[str]) -> list[int]:
+    """Where the parts of a long sentence begin, by its words alone; equal hashes in reach of each other all cut."""
+    h = [_OVER] * NEAR + list(map(xxhash.xxh3_64_intdigest, words)) + [_OVER] * NEAR
+    lower = [k for k in range(NEAR + 1, NEAR + len(words)) if h[k - 1] >= h[k] <= h[k + 1]]
+    return [0, *[k - NEAR for k in lower if h[k] <= min(h[k - NEAR : k + NEAR + 1])]]
+
+
+def units(text: str, placed: bool = True) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of each unit of a text; without ``placed``, start and end may be left at 0."""
     out = []
     digest = xxhash.xxh3_128_digest
     start = 0
@@ -49,9 +60,10 @@ def units(text: str) -> list[tuple[int, int, int, bytes]]:
         sentence = text[start:end]
         words = sentence.lower().split()
         if len(words) > LONG:
-            for k, part in enumerate(_PART.finditer(text, start, end)):
-                some = words[k * LONG : (k + 1) * LONG]
-                out.append((part.start(), part.end(), len(some), digest(" ".join(some))))
+            at = [m.span() for m in _WORD.finditer(text, start, end)] if placed else [(0, 0)] * len(words)
+            begins = cuts(words)
+            for a, b in zip(begins, [*begins[1:], len(words)], strict=True):
+                out.append((at[a][0], at[b - 1][1], b - a, digest(" ".join(words[a:b]))))
         elif words:
             first = start + len(sentence) - len(sentence.lstrip())
             out.append((first, start + len(sentence.rstrip()), len(words), digest(" ".join(words))))
@@ -113,7 +125,7 @@ def _hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batch):
             rows, first, second, times = [], [], [], []
             for row, text in enumerate(part.column("text").to_pylist()):
-                counts = Counter(key(digest) for _, _, digest in runs(units(text or "")))
+                counts = Counter(key(digest) for _, _, digest in runs(units(text or "", False)))
                 rows += [row] * len(counts)
                 times += counts.values()
                 first += [h for h, _ in counts]
@@ -143,7 +155,7 @@ def drop_repeated_spans(df: DataFrame, text_col: str = "text", id_col: str = "do
     """(id, removed, text) for every row of ``df``: spans removed, in characters of the old text, and what is left."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    places = docs.mapInArrow(_hash_runs, f"h1 bigint, h2 int, id {kind}, n int")
+    places = written(docs.mapInArrow(_hash_runs, f"h1 bigint, h2 int, id {kind}, n int"), "span-places")  # read twice
     sums = places.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.sum("n").alias("times"))
     repeated = written(sums.filter("times > 1").select("h1", "h2", "first"), "span-repeats")
     own = F.col("id").eqNullSafe(F.col("first"))

@@ -132,3 +132,15 @@ def test_benchmark_blocks_give_what_one_block_gives(spark):
         assert sorted(parts.collect(), key=key) == sorted(whole.collect(), key=key)
         if keep:
             assert {r["place"]: r["items"] for r in parts.collect()} == {0: [8], 1: [], 2: [None, 7], 3: [], 4: [7, 8], 5: []}
+
+
+def test_passage_without_marks_is_found_at_any_offset(spark):
+    passages = [numbered_words(k) for k in range(1, 30)]
+    lead = lambda k, n: " ".join(f"l{k}x{i}" for i in range(n))
+    texts = [t for k, p in enumerate(passages) for t in (f"{lead(2 * k, 5)} {p} {lead(-k, 9)}", f"{lead(2 * k + 1, 6 + k % 13)} {p}")]
+    found = sentence_spans.drop_repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    rows = {r["doc_id"]: r for r in found.collect()}
+    for k, p in enumerate(passages):
+        assert rows[2 * k]["text"] == texts[2 * k]
+        gone = [texts[2 * k + 1][a:b].split() for a, b in rows[2 * k + 1]["removed"]]
+        assert all(set(g) <= set(p.split()) for g in gone) and sum(map(len, gone)) >= 30
