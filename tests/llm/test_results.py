@@ -142,15 +142,90 @@ def test_base_scores_and_bits(spark, docs):
     assert all(math.isclose(r["base_score"], found[r["doc_id"]]["base_score"], rel_tol=1e-9) and math.isclose(r["score"], found[r["doc_id"]]["score"], rel_tol=1e-4) for r in again.collect())
 
 
+def noisy_model(seed=3):
+    rng = np.random.default_rng(seed)
+    slots = (rng.integers(-128, 128, 1 << 16) * 256 + rng.integers(0, 249, 1 << 16)).astype(np.int16)
+    code = context_mixing.Code(np.bincount(np.frombuffer(b"some text to fit and more text", np.uint8), minlength=256))
+    table = context_mixing.Table(16, slots)
+    return context_mixing.fitted(code, table, [b"some text to fit", b"more text"])
+
+
 def test_mixing_is_one_probability():
     """Over all next bytes, probabilities of a model with trained weights sum to one."""
-    rng = np.random.default_rng(3)
-    model = context_mixing.fitted(rng.integers(-40, 40, context_mixing.SLOTS).astype(np.int8), np.ones(context_mixing.SLOTS, bool), [b"some text to fit", b"more text"])
+    model = noisy_model()
     for before in (b"", b"abcabc"):
         base = model.cost([before])[0] if before else 0.0
         assert abs(sum(2.0 ** -(model.cost([before + bytes([b])])[0] - base) for b in range(256)) - 1) < 1e-3
 
 
+def scalar_bits(model, text):
+    """The bits of one text, one decision at a time."""
+    weights = [list(map(float, w)) for w in model.weights]
+    refine = list(map(float, model.refine))
+    code, total = model.code, 0.0
+    mask = (1 << 64) - 1
+    steps = context_mixing.edges(len(text))
+    for a, b in zip(steps, steps[1:], strict=False):
+        slow = max(1.0, (b - a) / context_mixing.FULL_STEP)
+        moves, bumps = collections.Counter(), collections.Counter()
+        for at in range(a, b):
+            byte = text[at]
+            path = range(int(code.first[byte]), int(code.first[byte] + code.depth[byte]))
+            gate = 0
+            for j in path:
+                inputs = []
+                for k, order in enumerate(context_mixing.ORDERS):
+                    context = int.from_bytes(text[max(0, at - order) : at], "big")
+                    h = (context * 256 + int(code.node[j]) + (order << 50)) * 0x9E3779B97F4A7C15 & mask
+                    h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask
+                    h ^= h >> 32
+                    slot = int(model.table.slots[h >> 64 - model.table.bits]) & 0xFFFF
+                    x = (slot & 255) - 128 if slot >> 8 == h & 255 else -128
+                    if j == path[0] and x != -128:
+                        gate = k
+                    inputs.append(0.0 if x == -128 else x / 16 * int(code.sign[j]))
+                mixed = min(7.5, max(-7.5, sum(x * w for x, w in zip(inputs, weights[gate], strict=True))))
+                place, side = int(abs(mixed) * 2), (mixed > 0) - (mixed < 0)
+                refined = mixed + side * refine[place]
+                total += math.log2(1 + math.exp(-refined))
+                for k, x in enumerate(inputs):
+                    moves[gate, k] += model.rate / slow * x / (1 + math.exp(mixed))
+                bumps[place] += model.refine_rate / slow * side / (1 + math.exp(refined))
+        for (gate, k), move in moves.items():
+            weights[gate][k] += move
+        for place, bump in bumps.items():
+            refine[place] += bump
+    return total
+
+
+def test_mixing_against_one_decision_at_a_time():
+    model = noisy_model()
+    texts = [b"\n", b"", b"the cat \x00 sat\n", "é漢 x".encode() * 40, bytes(range(256)) * 30, b"\x00\x00"]
+    for text, bits in zip(texts, model.cost(texts), strict=True):
+        assert math.isclose(bits, scalar_bits(model, text), rel_tol=1e-3, abs_tol=1e-4)
+    assert np.allclose(model.cost(texts[::-1]), [model.cost([t])[0] for t in texts[::-1]], rtol=1e-5)
+
+
+def test_predictors_against_counting(spark):
+    texts = ["the cat sat on the mat", "the dog", "", None, "the cat"]
+    code, table, without = context_mixing.predictors(spark.createDataFrame([(t, t == "the dog") for t in texts], "text string, tuning boolean").repartition(2))
+    data = [context_mixing.coded(t) for t in texts]
+    keys = np.unique(np.concatenate([context_mixing.grams(np.frombuffer(d, np.uint8)) for d in data]))
+    which, place = code.decisions(keys)
+    for found, skipped in ((table, None), (without, "the dog")):
+        for order in context_mixing.ORDERS:
+            counts = collections.defaultdict(lambda: [0, 0])
+            for text, d in zip(texts, data, strict=True):
+                for at, byte in enumerate(d if text != skipped or skipped is None else b""):
+                    for j in range(code.first[byte], code.first[byte] + code.depth[byte]):
+                        counts[d[max(0, at - order) : at].rjust(order, b"\0"), code.node[j]][int(code.sign[j] > 0)] += 1
+            got = found.of(context_mixing.hashed(keys[which], code.node[place], order))
+            for key, j, x in zip(keys[which], place, got, strict=True):
+                zeros, ones = counts[int(key >> np.uint64(8)).to_bytes(5, "big")[5 - order :], code.node[j]]
+                want = round(16 * math.log((ones + 0.4) / (zeros + 0.4))) if zeros + ones else -128
+                assert abs(int(x) - want) <= 1
+
+
 def test_repeated_spans_against_brute_force(spark, docs):
     found = run(spark, "op6_substring_dedup")
     runs = {i: sentence_spans.runs(sentence_spans.units(t)) for i, t, _ in docs}
