@@ -145,7 +145,7 @@ def test_base_scores_and_bits(spark, docs):
 def noisy_model(seed=3):
     rng = np.random.default_rng(seed)
     slots = (rng.integers(-128, 128, 1 << 16) * 256 + rng.integers(0, 249, 1 << 16)).astype(np.int16)
-    code = context_mixing.Code(np.bincount(np.frombuffer(b"some text to fit and more text", np.uint8), minlength=256))
+    code = context_mixing.Code(rng.integers(0, 40, (256, 256)) ** 3)
     table = context_mixing.Table(16, slots)
     return context_mixing.fitted(code, table, [b"some text to fit", b"more text"])
 
@@ -169,8 +169,8 @@ def scalar_bits(model, text):
         slow = max(1.0, (b - a) / context_mixing.FULL_STEP)
         moves, bumps = collections.Counter(), collections.Counter()
         for at in range(a, b):
-            byte = text[at]
-            path = range(int(code.first[byte]), int(code.first[byte] + code.depth[byte]))
+            pair = (text[at - 1] if at else 0) * 256 + text[at]
+            path = range(int(code.first[pair]), int(code.first[pair] + code.depth[pair]))
             gate = 0
             for j in path:
                 inputs = []
@@ -218,7 +218,8 @@ def test_predictors_against_counting(spark):
             counts = collections.defaultdict(lambda: [0, 0])
             for text, d in zip(texts, data, strict=True):
                 for at, byte in enumerate(d if text != skipped or skipped is None else b""):
-                    for j in range(code.first[byte], code.first[byte] + code.depth[byte]):
+                    pair = (d[at - 1] if at else 0) * 256 + byte
+                    for j in range(code.first[pair], code.first[pair] + code.depth[pair]):
                         counts[d[max(0, at - order) : at].rjust(order, b"\0"), code.node[j]][int(code.sign[j] > 0)] += 1
             got = found.of(context_mixing.hashed(keys[which], code.node[place], order))
             for key, j, x in zip(keys[which], place, got, strict=True):
