@@ -94,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": host_rules.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql()}
+    return {"op2_quality_rules": host_rules.oracle_sql(), "op3_secret_scan": secrets.oracle_sql()}
