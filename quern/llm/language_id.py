@@ -1,7 +1,8 @@
 """Language ID by labelled spans of whole texts.
 
-A word is a run of letters. The script of its first letter narrows the candidate languages to those that used that
-script in training; each candidate gets a score from hashed character n-grams. A Viterbi pass over the words of a
+A word is a run of letters of one script, or a piece of ``MOST`` letters of a longer run, so that scripts without
+spaces have words too and every letter counts. Its script narrows the candidate languages to those that used that script
+in training; each candidate gets a score from hashed character n-grams. A Viterbi pass over the words of a
 text, with a penalty for each switch of language, labels every word, and neighbours with one label make a span.
 
 Training takes whole labelled texts, ``most_docs`` a language at most in expectation (by a hash of id and text, so
@@ -19,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,11 @@ from pyspark.sql import functions as F
 from quern.llm.common import carried, text_slices
 
 UND = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters in a word at most.
+MOST = 40
+LETTERS = re.compile(r"[^\W\d_]{1,%d}" % MOST)
+#: Beyond the first script.
+_WIDE = re.compile("[\u0370-\U0010ffff]")
 ORDERS = (1, 2, 3, 4)
 #: Words whose n-grams are laid out at once, at about 1 kB each.
 SOME_WORDS = 1 << 14
@@ -52,9 +58,26 @@ def script(char: str) -> int:
     return int(_SCRIPT_OF[np.searchsorted(_STARTS, ord(char), "right") - 1])
 
 
+def places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each word."""
+    runs = [m.span() for m in LETTERS.finditer(text)]
+    if not _WIDE.search(text):
+        return runs
+    kinds = _SCRIPT_OF[np.searchsorted(_STARTS, np.frombuffer(text.encode("utf-32-le"), np.uint32), "right") - 1]
+    cuts = np.flatnonzero(np.diff(kinds)) + 1
+    first = np.searchsorted(cuts, [a for a, _ in runs], "right").tolist()
+    last = np.searchsorted(cuts, [b for _, b in runs], "left").tolist()
+    at = cuts.tolist()
+    return [pair for (a, b), i, j in zip(runs, first, last, strict=True) for pair in pairwise([a, *at[i:j], b])]
+
+
+def words_of(text: str) -> list[str]:
+    return [text[a:b] for a, b in places(text)] if _WIDE.search(text) else LETTERS.findall(text)
+
+
 def gram_buckets(words: list[str], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of the n-grams of each word, ends marked and in lower case, and of the word itself; and whose each is."""
-    marked = [f"^{w[:40].lower()}$" for w in words]
+    marked = [f"^{w.lower()}$" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     ends = np.cumsum(lengths)
@@ -160,7 +183,7 @@ class LanguageModel:
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, language) of each text's spans, in characters."""
-        words = [LETTERS.findall(t) for t in texts]
+        words = [words_of(t) for t in texts]
         out: list[list[tuple[int, int, str]]] = []
         for text, found, labels in zip(texts, words, self.label(words), strict=True):
             if not found:
@@ -168,7 +191,7 @@ class LanguageModel:
             elif (labels == labels[0]).all():
                 out.append([(text.index(found[0]), text.rindex(found[-1]) + len(found[-1]), self.langs[labels[0]])])
             else:
-                at = [m.span() for m in LETTERS.finditer(text)]
+                at = places(text)
                 cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1), len(found)]
                 out.append([(at[a][0], at[b - 1][1], self.langs[labels[a]]) for a, b in zip(cuts, cuts[1:], strict=False)])
         return out
@@ -192,7 +215,7 @@ def train(df: DataFrame, keep: Column, most_docs: int = 3000, n_buckets: int = 1
         words: Counter = Counter()
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                words.update((lang, w) for w in LETTERS.findall(text))
+                words.update((lang, w) for w in words_of(text))
         for lang in sorted({k for k, _ in words}):
             mine = [(w, n) for (k, w), n in words.items() if k == lang]
             row = np.zeros(n_buckets + len(SCRIPTS))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import context_mixing, decontaminate, language_id, queries, secrets, sentence_spans, simhash, toxicity
+from quern.llm import context_mixing, decontaminate, host_rules, language_id, queries, secrets, sentence_spans, simhash, toxicity
 from quern.llm.piece_bpe import load
 from quern.llm.token_counts import TokenCounter
 
@@ -362,3 +362,37 @@ def test_pipeline_against_its_operators(spark, docs):
     good = {i for i, r in one.items() if r["lang_pred"] != "und" and r["score"] >= 0.5}
     want = {i for i in good if seven[i]["component_id"] == i and not four[i]["contaminated"]}
     assert len(found ^ want) <= 2
+
+
+def test_host_verdicts_by_hand(spark):
+    """A host that fails a soft rule far above the others loses the documents that fail it, and only those."""
+    good = " ".join(f"word{k}" for k in range(40))
+    noisy, rows = good + " " + "# " * 8, []
+    for host in range(12):
+        rows += [(f"h{host}", noisy if k < (30 if host == 3 else 2) else good) for k in range(60)]
+    rows += [("bad", "too short")] * 50 + [("bad", good)] * 3 + [(None, good)] * 5
+    docs = spark.createDataFrame([(i if i % 9 else None, h, t) for i, (h, t) in enumerate(rows)], "doc_id long, source string, text string").repartition(4)
+    for most in (100_000, 0):
+        found = host_rules.judge(docs, broadcast_hosts=most).select("n_words", "n_symbols", "base_failed", "host_rate", "host_failed", "kept").collect()
+        assert len(found) == len(rows)
+        assert sum(r["host_failed"] and r["n_symbols"] == 8 for r in found) == 30
+        assert sum(r["host_failed"] and r["n_symbols"] == 0 for r in found) == 53
+        assert sum(r["kept"] for r in found) == len(rows) - 30 - 53
+
+
+def test_words_are_pieces_of_one_script_and_all_letters_count():
+    text = "abc漢字かなdef " + "ก" * 95 + " x1y é" + "z" * 41
+    words = language_id.words_of(text)
+    assert words == ["abc", "漢字", "かな", "def", "ก" * 40, "ก" * 40, "ก" * 15, "x", "y", "é" + "z" * 39, "zz"]
+    assert [text[a:b] for a, b in language_id.places(text)] == words
+    head, tail = "".join(chr(0x4E00 + k % 50) for k in range(100)), "".join(chr(0x5E00 + k % 50) for k in range(400))
+    rng = random.Random(5)
+    lots = lambda s, n: ["".join(rng.choice(s[:50] if n else s[-50:]) for _ in range(30)) for _ in range(40)]
+    counts = {}
+    for lang, words in (("aa", lots(head, 1)), ("bb", lots(tail, 1))):
+        bucket, _ = language_id.gram_buckets(words, 1 << 12)
+        counts[lang] = np.bincount(bucket, minlength=1 << 12) + 0.5
+    logp = np.log(np.stack([c / c.sum() for c in counts.values()], axis=1)).astype(np.float32)
+    model = language_id.LanguageModel(["aa", "bb"], logp, np.ones((len(language_id.SCRIPTS), 2), bool))
+    assert model.spans([head + tail])[0] in ([(0, 80, "aa"), (80, 500, "bb")], [(0, 120, "aa"), (120, 500, "bb")])
+    assert model.spans([head + head * 4])[0] == [(0, 500, "aa")]
