@@ -2,21 +2,25 @@
 
 Texts and benchmark items are made alike (lower case; runs of anything but letters and digits are one space) and
 compared as UTF-8 bytes. An item is cut into overlapping probes of ``PROBE`` bytes (a shorter item is one probe). A
-probe of length n found with at most e = floor(n * RATE) edits shares at least n + 1 - Q (e + 1) of its q-grams with the place where it is found, all within e diagonals (the
-q-gram lemma). So:
+probe of length n found with at most e = floor(n * RATE) edits shares at least n + 1 - Q (e + 1) of its q-grams with the
+place where it is found, all within e diagonals (the q-gram lemma). So:
 
 1. All q-grams of a text are looked up among the probes' q-grams; each hit has a diagonal (text place less probe place).
 2. Hits are counted in diagonal bands of width 2 e that overlap by e, so that any e + 1 neighbouring diagonals lie in
    one band. Bands with fewer hits than the bound are dropped.
-3. The regions left are verified by aligning the probe to the text inside the band, with edits counted exactly.
+3. The regions left are verified by aligning the probe to the text in the cells of the band alone, edits counted exactly.
+
+Work does not grow with the square of a text's repetitions: where hits are many, places of a text with the same bytes
+around them are looked at once, and hits are laid out a bounded number at a time.
 
 The probes are a broadcast of bounded size: a benchmark is taken in blocks of ``block_bytes`` of text (one item at
-least), with one pass over the documents for each. A usual benchmark is one block, and then nothing is shuffled; for several the
-documents are written with a number for each row, and the hits of the passes are written and joined by that number.
+least), with one pass over the documents for each. A usual benchmark is one block, and then nothing is shuffled; for
+several the documents are written with a number for each row, and the hits of the passes are written and joined by
+that number.
 
 Probes shorter than ``LEAST`` bytes leave no room for an edit and must be found as they are; items without Q bytes are
-left out (they name nothing). Null and empty texts contain nothing. Null ids
-and repeated rows are kept, an empty table or benchmark gives no hits, and other columns are not read.
+found where they stand as whole words. An item without a letter or digit names nothing. Null and empty texts contain
+nothing. Null ids and repeated rows are kept, an empty table or benchmark gives no hits, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ RATE = 0.05
 PROBE = 96
 STEP = 48
 LEAST = 2 * Q
+#: Bytes around a q-gram that decide whether a probe is found there: a probe, its edits to either side and bands.
+REACH = PROBE + 4 * int(PROBE * RATE) + 2 * Q
 
 #: Bytes that stay: digits, a-z and all of other scripts. The rest separates words.
 _KEEPS = np.zeros(256, bool)
@@ -87,93 +93,156 @@ class Probes:
     probe: np.ndarray
     place: np.ndarray
     seen: np.ndarray  # which 20-bit prefixes of grams occur
+    edits: np.ndarray  # of each probe, at most
+    bounds: np.ndarray  # common grams of each probe, at least
+    short: dict[int, dict[bytes, int]]  # items without Q bytes, by size: with a space after them, the probe
 
     @classmethod
     def of(cls, block: list[tuple]) -> Probes:
         items, cut = [], []
+        short: dict[int, dict[bytes, int]] = {}
         for i, text in block:
             data, begins = alike(pa.array([text], pa.string()))
             whole = data[begins[0] : len(data) - Q].tobytes().strip()
             if len(whole) < Q:
-                continue
-            starts = [0] if len(whole) <= PROBE else [*range(0, len(whole) - PROBE, STEP), len(whole) - PROBE]
-            mine = list(dict.fromkeys(whole[s : s + PROBE] for s in starts))
-            items += [i] * len(mine)
+                mine = [whole] if whole else []
+            else:
+                starts = [0] if len(whole) <= PROBE else [*range(0, len(whole) - PROBE, STEP), len(whole) - PROBE]
+                mine = list(dict.fromkeys(whole[s : s + PROBE] for s in starts))
+            items += [[i]] * len(mine)
             cut += mine
-        found = [grams(np.frombuffer(t, np.uint8)) for t in cut]
-        keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        probe = np.repeat(np.arange(len(cut)), [len(f) for f in found]) if found else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(f)) for f in found]) if found else np.zeros(0, np.int64)
+        same: dict[bytes, int] = {}  # one probe for all items that have it
+        first = [same.setdefault(t, len(same)) for t in cut]
+        names: list[list] = [[] for _ in same]
+        for k, mine in zip(first, items, strict=True):
+            names[k] += mine
+        texts = list(same)
+        for k, t in enumerate(texts):
+            if len(t) < Q:
+                short.setdefault(len(t), {})[t + b" "] = k
+        found = [grams(np.frombuffer(t, np.uint8)) for t in texts]
+        keys = np.concatenate([np.zeros(0, np.uint64), *found])
+        probe = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(f)) for f in found]])
         order = np.argsort(keys, kind="stable")
         seen = np.zeros(1 << 20, bool)
         seen[(keys >> np.uint64(44)).astype(np.int64)] = True
-        return cls(items, cut, keys[order], probe[order], place[order], seen)
-
-    def edits(self, probe: int) -> int:
-        return int(len(self.texts[probe]) * RATE) if len(self.texts[probe]) >= LEAST else 0
-
-    def bound(self, probe: int) -> int:
-        return len(self.texts[probe]) + 1 - Q * (self.edits(probe) + 1)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        edits = np.where(sizes >= LEAST, (sizes * RATE).astype(np.int64), 0)
+        return cls(names, texts, keys[order], probe[order], place[order], seen, edits, sizes + 1 - Q * (edits + 1), short)
 
 
-def banded_edits(probe: bytes, region: bytes, most: int) -> int:
-    """The least edits with which ``probe`` is found in ``region``, or ``most`` + 1.
+def banded_edits(probes: list[bytes], data: np.ndarray, lows: np.ndarray, width: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The least edits with which each probe is found along ``width`` diagonals, the first of them ``lows``.
 
-    The probe may start at any place of the region and end at any; as the region is no more than the band around the
-    probe, the rows of the alignment are the band.
+    A probe may begin on any diagonal of its band and end on any. Row k of the alignments holds only the cells (k, k +
+    diagonal) of the band. What lies outside the text, from ``begins`` to ``ends``, is like no byte.
+    """
+    sizes = np.array([len(p) for p in probes])
+    longest = int(sizes.max())
+    letters = np.frombuffer(b"".join(p.ljust(longest, b"\0") for p in probes), np.uint8).reshape(len(probes), longest)
+    at = lows[:, None] + np.arange(longest + width)
+    inside = (at >= begins[:, None]) & (at < ends[:, None])
+    text = np.where(inside, data[np.clip(at, 0, len(data) - 1)], -1).astype(np.int16)
+    ramp = np.arange(width, dtype=np.int16)
+    row = np.zeros((len(probes), width), np.int16)
+    out = np.zeros(len(probes), np.int64)
+    for k in range(longest):
+        new = row + (text[:, k : k + width] != letters[:, k, None])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        done = sizes == k + 1
+        out[done] = row[done].min(axis=1)
+    return out
+
+
+def distinct_windows(data: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` are the first in their text with the same ``REACH`` bytes on either side.
+
+    A probe found at a later one is found at the first as well, with all its q-grams, so the later ones can go.
+    """
+    mult = np.uint64(0x9E3779B97F4A7C15)
+    value = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    value ^= value >> np.uint64(31)
+    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(data), mult)]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(value[data] * power[:-1])])
+    low, high = np.maximum(at - REACH, 0), np.minimum(at + REACH, len(data))
+    mix = (sums[high] - sums[low]) * power[len(data) - low]  # the same at every place
+    order = np.lexsort((at, high - low, mix, text))
+    same = (np.diff(mix[order]) == 0) & (np.diff(text[order]) == 0) & (np.diff((high - low)[order]) == 0)
+    keeps = np.ones(len(at), bool)
+    keeps[order[1:][same]] = False
+    return keeps
+
+
+def found_short(probes: Probes, data: np.ndarray, begins: np.ndarray) -> set[tuple[int, int]]:
+    """(text, probe) where a short item stands as whole words."""
+    found: set[tuple[int, int]] = set()
+    starts = np.flatnonzero((data[1:] != _SPACE) & (data[:-1] == _SPACE)) + 1 if probes.short else np.zeros(0, np.int64)
+    for size, known in probes.short.items():
+        words = np.stack([data[starts + k] for k in range(size + 1)], axis=1)  # texts are followed by Q spaces
+        keys = np.ascontiguousarray(words).view(f"S{size + 1}").ravel()
+        want = np.array(sorted(known))
+        at = np.minimum(np.searchsorted(want, keys), len(want) - 1)
+        hits = np.flatnonzero(want[at] == keys)
+        text = np.searchsorted(begins, starts[hits], "right") - 1
+        found |= {(t, known[key]) for t, key in zip(text.tolist(), keys[hits].tolist(), strict=True)}
+    return found
+
+
+def find(probes: Probes, data: np.ndarray, begins: np.ndarray, most_hits: int = 1 << 21) -> list[tuple[int, int]]:
+    """(text, probe) for every text of the batch that holds a probe within its edits.
+
+    Hits are laid out ``most_hits`` at a time, in overlapping stretches of the batch.
     """
-    text = np.frombuffer(region, np.uint8)
-    ramp = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
-    for k, c in enumerate(probe):
-        new = np.empty_like(row)
-        new[0] = k + 1
-        np.minimum(row[:-1] + (text != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - ramp) + ramp
-        if row.min() > most:
-            return most + 1
-    return int(row.min())
-
-
-def find(probes: Probes, data: np.ndarray, begins: np.ndarray) -> list[tuple[int, int]]:
-    """(text, probe) for every text of the batch that holds a probe within its edits."""
-    if not len(probes.keys):
-        return []
+    found = found_short(probes, data, begins)
     mixed = grams(data)
-    at = np.flatnonzero(probes.seen[mixed >> np.uint64(44)])
+    at = np.flatnonzero(probes.seen[mixed >> np.uint64(44)]) if len(probes.keys) else np.zeros(0, np.int64)
     mixed = mixed[at]
     low = np.searchsorted(probes.keys, mixed)
-    true = probes.keys[np.minimum(low, len(probes.keys) - 1)] == mixed
-    at, mixed, low = at[true], mixed[true], low[true]
-    if not len(at):
-        return []
+    if len(at):
+        true = probes.keys[np.minimum(low, len(probes.keys) - 1)] == mixed
+        at, mixed, low = at[true], mixed[true], low[true]
     times = np.searchsorted(probes.keys, mixed, "right") - low
-    first = np.cumsum(times) - times
-    post = np.arange(times.sum()) - np.repeat(first, times) + np.repeat(low, times)
-    where, probe = np.repeat(at, times), probes.probe[post]
-    diagonal = where - probes.place[post]
-    edits = np.array([probes.edits(p) for p in range(len(probes.texts))])
-    bounds = np.array([probes.bound(p) for p in range(len(probes.texts))])
-    text = np.searchsorted(begins, where, "right") - 1
-    step = np.maximum(1, edits)[probe]
-    found: set[tuple[int, int]] = set()
-    half = diagonal // step
-    # band b holds the half bands b - 1 and b
-    keys = np.concatenate([np.stack([text, probe, half]), np.stack([text, probe, half + 1])], axis=1)
-    bands, counts = np.unique(keys, axis=1, return_counts=True)
-    bands = bands[:, counts >= np.maximum(1, bounds[bands[1]])]
-    for t, p, b in bands.T.tolist():
-        if (t, p) in found:
-            continue
-        e, size = int(edits[p]), len(probes.texts[p])
-        wide = max(1, e)
-        start = max(int(begins[t]), (b - 1) * wide - e)
-        stop = min(int(begins[t + 1]), (b + 1) * wide + size + e)
-        if banded_edits(probes.texts[p], data[start:stop].tobytes(), e) <= e:
-            found.add((t, p))
+    text = np.searchsorted(begins, at, "right") - 1
+    if times.sum() > most_hits:
+        keeps = distinct_windows(data, at, text)
+        at, low, times, text = at[keeps], low[keeps], times[keeps], text[keeps]
+    done, total = 0, np.cumsum(times)
+    while done < len(at):
+        first = np.searchsorted(at, at[done] - 2 * REACH)
+        end = max(done + 1, int(np.searchsorted(total, total[done] + most_hits)))
+        part = slice(first, end)
+        found |= _found_in(probes, data, begins, at[part], low[part], times[part], text[part])
+        done = end
     return sorted(found)
 
 
+def _found_in(probes: Probes, data: np.ndarray, begins: np.ndarray, at: np.ndarray, low: np.ndarray, times: np.ndarray, text: np.ndarray) -> set[tuple[int, int]]:
+    """(text, probe) found by the q-grams at some places of a batch, with their postings."""
+    post = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+    probe = probes.probe[post]
+    diagonal = np.repeat(at, times) - probes.place[post]
+    text = np.repeat(text, times)
+    step = np.maximum(1, probes.edits)
+    half = diagonal // step[probe] + PROBE  # not negative
+    span = len(data) + 2 * PROBE
+    # band b holds the half bands b - 1 and b
+    keys, counts = np.unique(np.concatenate([(pair := text * len(probes.texts) + probe) * span + half, pair * span + half + 1]), return_counts=True)
+    pair, band = np.divmod(keys, span)
+    t, p = np.divmod(pair, len(probes.texts))
+    likely = counts >= np.maximum(1, probes.bounds[p])
+    t, p, band = t[likely], p[likely], band[likely] - PROBE
+    found: set[tuple[int, int]] = set()
+    for a in range(0, len(t), 8192):
+        ts, ps, bs = t[a : a + 8192], p[a : a + 8192], band[a : a + 8192]
+        e = probes.edits[ps]
+        edits = banded_edits([probes.texts[i] for i in ps.tolist()], data, (bs - 1) * step[ps] - e, int(2 * (step[ps] + e).max()), begins[ts], begins[ts + 1] - Q)
+        hit = edits <= e
+        found |= set(zip(ts[hit].tolist(), ps[hit].tolist(), strict=True))
+    return found
+
+
 def contaminated(
     df: DataFrame,
     benchmark: DataFrame,
@@ -204,7 +273,7 @@ def contaminated(
                 for part in text_slices(batch, name, slice_bytes):
                     items: list[set] = [set() for _ in range(part.num_rows)]
                     for text, probe in find(probes, *alike(part.column(name))):
-                        items[text].add(probes.items[probe])
+                        items[text].update(probes.items[probe])
                     lists = pa.array([sorted(s, key=lambda i: (i is not None, i)) for s in items], pa.list_(item_type))
                     yield pa.RecordBatch.from_arrays([*map(part.column, inner), lists], names=[*names, "benchmark_items"])
 

@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -105,15 +106,53 @@ def test_decontamination_against_edit_distance():
             chars[rng.randrange(len(chars))] = rng.choice(["", "q", "qz"])
         texts += [say(20) + " " + "".join(chars).upper() + ", " + say(15), say(40)]
     probes = decontaminate.Probes.of(block)
-    import pyarrow as pa
+    for size in (1 << 21, 50):
+        assert hits_of(probes, texts, size) == (want := sought(probes, texts)) and len(want) > 5
 
-    data, begins = decontaminate.alike(pa.array([*texts, None, ""]))
-    found = set(decontaminate.find(probes, data, begins))
+
+def hits_of(probes, texts, most_hits=1 << 21):
+    return set(decontaminate.find(probes, *decontaminate.alike(pa.array([*texts, None, ""])), most_hits))
+
+
+def sought(probes, texts):
+    """(text, probe) by whole alignments, letter by letter; items of a few letters by their words."""
     want = set()
-    for t in range(len(texts)):
-        text = data[begins[t] : begins[t + 1] - decontaminate.Q].tobytes()
-        want |= {(t, p) for p in range(len(probes.texts)) if decontaminate.banded_edits(probes.texts[p], text, probes.edits(p)) <= probes.edits(p)}
-    assert found == want and len(want) > 5
+    for t, text in enumerate(texts):
+        text = re.sub("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", text.lower()).encode()
+        for p, probe in enumerate(probes.texts):
+            if len(probe) < 12:
+                found = b" " + probe + b" " in b" " + text + b" "
+            else:
+                row = [0] * (len(text) + 1)
+                for k, c in enumerate(probe):
+                    new = [k + 1]
+                    for j, d in enumerate(text):
+                        new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+                    row = new
+                found = min(row) <= (len(probe) // 20 if len(probe) >= 24 else 0)
+            if found:
+                want.add((t, p))
+    return want
+
+
+def test_decontamination_of_repetitive_texts():
+    block = [(1, "a" * 120), (2, "ab" * 40), (3, "the " * 20 + "end"), (4, "yes"), (5, "b 7"), (6, "été"), (7, "zzzzzzzzzzz"), (8, "?!"), (9, "yes")]
+    probes = decontaminate.Probes.of(block)
+    texts = ["a" * 400, "x" + "ab" * 100 + "a" * 95 + "b" * 9 + "a" * 300, "the " * 60, "the " * 21 + "end", "Yes, b-7!", "yesterday", "l'été", "z" * 11, "z" * 12, "a" * 94 + "xy" + "a" * 30]
+    want = sought(probes, texts)
+    assert {hits_of(probes, texts, n) == want for n in (1 << 21, 1000, 1)} == {True}
+    assert {(4, 4), (4, 5), (6, 6), (7, 7)} <= {(t, probes.items[p][0]) for t, p in want}
+    assert [probes.items[p] for p in range(len(probes.texts)) if probes.texts[p] == b"yes"] == [[4, 9]]
+
+
+def test_decontamination_of_a_long_text_of_one_letter():
+    import time
+
+    probes = decontaminate.Probes.of([(1, "a" * 200), (2, "a" * 30 + "b" * 30)])
+    started = time.process_time()
+    assert {probes.items[p][0] for _, p in hits_of(probes, ["a" * 1_000_000])} == {1}
+    assert hits_of(probes, ["a" * 500_000 + "b" * 500_000]) == {(0, 0), (0, 1)}
+    assert time.process_time() - started < 20
 
 
 def test_benchmark_passages_are_found(spark, docs):
