@@ -4,18 +4,21 @@ A text is cut into sentences (at sentence marks before white space, and at line
 ``LONG`` words is cut further before each word whose hash is the least of the ``NEAR`` words to either side, so that a
 passage without marks has several units too, and the same ones whatever stands before it.
 Every run of at least ``RUN`` consecutive units with at least ``WORDS`` words is hashed: it begins at each unit and
-takes as many units as that needs. Words are compared in lower case and white space does not count.
+takes as many units as that needs; repeats of fewer words are left alone, wherever they stand. Words are compared in
+lower case and white space does not count.
 
-A run that occurs more than once, in one text or over all, is repeated. Its first place is in the document with the
-least id, and there the first one in the text. Units covered by a repeated run anywhere else are removed.
+A run that occurs more than once, in one text or over all, is repeated. Its first place is in the row with the least id
+(none comes last; of rows with one id, the one with the least number), and there the first one in the text. Units
+covered by a repeated run anywhere else are removed.
 
-Runs are summed by hash before the shuffle (least id and number of places), and each document learns which of its runs
-have their first place elsewhere through a join on the hash, where Spark splits hot keys; no task or driver ever holds
-all places of a hash. Texts move once, to meet their own removals.
+Rows are told apart by id and a number, which is a hash of file and place in it where ``df`` reads Parquet files
+directly; for other tables the rows are numbered and written first. Runs are summed by hash before the shuffle (least
+row and number of places), and each row learns which of its runs have their first place elsewhere through a join on the
+hash, where Spark splits hot keys; no task or driver ever holds all places of a hash, and what is gathered for a row is
+no more than its own runs. Texts move once, to meet their own removals.
 
-Null and empty texts have no units and stay as they are (a null stays null). Rows without an id count together as one
-document that comes after all others, rows that share an id as one document too. Tables may be empty, and other
-columns are not read.
+Null and empty texts have no units and stay as they are (a null stays null). Rows without an id and rows that share an
+id are rows like others: of repeated rows, one keeps its text. Tables may be empty, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,9 +134,9 @@ def _hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 times += counts.values()
                 first += [h for h, _ in counts]
                 second += [h for _, h in counts]
-            ids = part.column("id").take(pa.array(rows, pa.int64()))
-            columns = [pa.array(first, pa.int64()), pa.array(second, pa.int32()), ids, pa.array(times, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "id", "n"])
+            at = pa.array(rows, pa.int64())
+            columns = [pa.array(first, pa.int64()), pa.array(second, pa.int32()), *[part.column(c).take(at) for c in ("id", "number")], pa.array(times, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "id", "number", "n"])
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,16 +155,27 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(spans, span), pa.array(texts, pa.string())], names=["id", "removed", "text"])
 
 
+def numbered(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(id, number, text): the number and the id tell rows apart, however often the rows are read."""
+    columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
+    try:
+        return df.select(*columns, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("number"))
+    except AnalysisException:  # not a scan of files: numbers last only if they are written
+        return written(df.select(*columns).withColumn("number", F.monotonically_increasing_id()), "span-rows")
+
+
 def drop_repeated_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, removed, text) for every row of ``df``: spans removed, in characters of the old text, and what is left."""
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    places = written(docs.mapInArrow(_hash_runs, f"h1 bigint, h2 int, id {kind}, n int"), "span-places")  # read twice
-    sums = places.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.sum("n").alias("times"))
-    repeated = written(sums.filter("times > 1").select("h1", "h2", "first"), "span-repeats")
-    own = F.col("id").eqNullSafe(F.col("first"))
+    docs = numbered(df, text_col, id_col)
+    places = written(docs.mapInArrow(_hash_runs, f"h1 bigint, h2 int, id {kind}, number bigint, n int"), "span-places")  # read twice
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number"))
+    sums = places.groupBy("h1", "h2").agg(first.alias("first"), F.sum("n").alias("times"))
+    repeated = written(sums.filter("times > 1").select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.number").alias("first_number")), "span-repeats")
+    own = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("number") == F.col("first_number"))
     affected = places.join(repeated, ["h1", "h2"]).withColumn("own", own).filter("NOT own OR n > 1")
-    lists = affected.groupBy("id").agg(F.collect_list(F.struct("h1", "h2", "own")).alias("gone")).withColumnRenamed("id", "of")
-    met = docs.join(lists, docs["id"].eqNullSafe(lists["of"]), "left").select("id", "text", "gone")
+    lists = affected.groupBy("id", "number").agg(F.collect_list(F.struct("h1", "h2", "own")).alias("gone"))  # of one row
+    lists = lists.select(F.col("id").alias("of"), F.col("number").alias("of_number"), "gone")
+    met = docs.join(lists, (docs["number"] == lists["of_number"]) & docs["id"].eqNullSafe(lists["of"]), "left").select("id", "text", "gone")
     span = "array<struct<start:int,end:int>>"
     return met.mapInArrow(_rewrite, f"id {kind}, removed {span}, text string").withColumnRenamed("id", id_col)
