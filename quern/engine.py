@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from types import MappingProxyType
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.plans.dialect import rewrite
@@ -28,8 +31,8 @@ class Engine:
             self.spark.sql(helper)
 
     def plan(self, tokens: list[Token]) -> DataFrame:
-        self.catalog.bind(tokens)
-        return self.spark.sql(rewrite(self.modules.mangle(tokens), self.modules.structs()))
+        types = self.catalog.bind(tokens)
+        return self.spark.sql(rewrite(self.modules.mangle(tokens), self.modules.structs(), types, self.catalog.size))
 
     def run(self, text: str) -> list[DataFrame]:
         """Runs all statements; the result has a DataFrame for each query."""
@@ -50,9 +53,9 @@ class Engine:
             raise DialectError("no query in the text")
         return found[-1]
 
-    def sexpr(self, text: str) -> DataFrame:
-        """The DataFrame of a plan written as an s-expression."""
-        return Builder(self.catalog.table).build(parse(text))
+    def sexpr(self, text: str, names: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
+        """The DataFrame of a plan written as an s-expression; ``names`` maps its names of functions to SQL's."""
+        return Builder(self.catalog.table, names).build(parse(text))
 
     def explained(self, tokens: list[Token], mode: str = "formatted") -> str:
         df = self.plan(tokens)

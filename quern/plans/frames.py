@@ -108,9 +108,14 @@ def describe(spark, sf_dir):
     return spark.createDataFrame(Engine(spark, sf_dir).catalog.describe("region"), "name string, kind string")
 
 
-@register("sc12_explain")
+@register("sc12_explain", "SELECT true AS pushed, true AS pruned, false AS broadcast")
 def explain(spark, sf_dir):
-    return Engine(spark, sf_dir).sql("EXPLAIN SELECT n_name FROM nation WHERE n_nationkey > 20")
+    """What the text of plans says: a pushed filter, the columns read, and that NOT IN broadcasts no subquery unseen."""
+    engine = Engine(spark, sf_dir)
+    (row,) = engine.sql("EXPLAIN SELECT n_name FROM nation WHERE n_nationkey > 20").collect()
+    anti = engine.explain("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+    found = ("GreaterThan(n_nationkey,20)" in row[0], "ReadSchema: struct<n_nationkey:int,n_name:string>" in row[0], "NAAJ" in anti or "isNullAware" in anti or "null-aware" in anti.lower())
+    return spark.createDataFrame([found], "pushed boolean, pruned boolean, broadcast boolean")
 
 
 MODULE = """

@@ -9,13 +9,15 @@
     (query (cte id R) ... (main R))
 
 A path is a Parquet file or a table's name. Expressions are names (``|t.c|`` with an alias), texts, ``(: value type)``,
-operators, ``(if c a b)``, ``(cast e type)`` and ``(call f e ...)``. A hint on a source is left to Parquet pushdown.
+operators, ``(if c a b)``, ``(cast e type)`` and ``(call f e ...)`` with the names of SQL functions; a caller whose plans
+use other names gives a map of them. A hint on a source is left to Parquet pushdown.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,9 +31,9 @@ _READ = re.compile(r"""\s*(?:;[^\n]*\n\s*)*(?:(?P<paren>[()])|"(?P<text>(?:[^"\\
 #: Names of types and of nulls orders. Fixed values.
 _TYPES = {"i8": "tinyint", "i16": "smallint", "i32": "int", "i64": "bigint", "u8": "boolean", "bool": "boolean", "f64": "double", "string": "string"}
 _FUNCTIONS: dict[str, Callable[..., Column]] = {
-    "string_view_sql_like": lambda text, pattern: text.like(pattern),
+    "like": lambda text, pattern: F.like(text, F.replace(pattern, F.lit("\\"), F.lit("\\\\"))),
     "substring": scalar.substr,
-    "date_year": F.year,
+    "year": F.year,
     "sqrt": F.sqrt,
     "strlen": scalar.strlen,
     "abs": F.abs,
@@ -86,8 +88,8 @@ def parse(source: str):
     return stack[0][0]
 
 
-def column(e) -> Column:
-    """The Column of an expression."""
+def column(e, names: Mapping[str, str] = MappingProxyType({})) -> Column:
+    """The Column of an expression; ``names`` says what functions of other names are called here."""
     if isinstance(e, Text):
         return F.lit(str(e))
     if isinstance(e, str):
@@ -97,18 +99,18 @@ def column(e) -> Column:
     head, *rest = e
     if head == ":":
         value, kind = rest
-        return column(value).cast(_TYPES[kind]) if kind in _TYPES else column(value)
+        return column(value, names).cast(_TYPES[kind]) if kind in _TYPES else column(value, names)
     if head == "cast":
-        return column(rest[0]).cast(_TYPES[rest[1]])
+        return column(rest[0], names).cast(_TYPES[rest[1]])
     if head == "if":
-        return F.when(column(rest[0]), column(rest[1])).otherwise(column(rest[2]))
+        return F.when(column(rest[0], names), column(rest[1], names)).otherwise(column(rest[2], names))
     if head == "call":
-        name = re.sub("^[a-z]*db_", "", rest[0])  # internal functions carry a prefix
+        name = names.get(rest[0], rest[0])
         if name not in _FUNCTIONS:
             raise DialectError(f"unknown function: {rest[0]}")
-        return _FUNCTIONS[name](*[str(x) if isinstance(x, Text) and name.endswith("like") and k else column(x) for k, x in enumerate(rest[1:])])
+        return _FUNCTIONS[name](*[column(x, names) for x in rest[1:]])
     if head in _OPERATORS:
-        return _OPERATORS[head](*map(column, rest))
+        return _OPERATORS[head](*[column(x, names) for x in rest])
     raise DialectError(f"unknown operator: {head}")
 
 
@@ -130,10 +132,11 @@ def aggregate(function: str, args: list) -> Column:
 
 
 class Builder:
-    """Builds DataFrames; ``table`` gives the DataFrame of a path or name."""
+    """Builds DataFrames; ``table`` gives the DataFrame of a path or name, ``names`` maps names of functions."""
 
-    def __init__(self, table: Callable[[str], DataFrame]):
+    def __init__(self, table: Callable[[str], DataFrame], names: Mapping[str, str] = MappingProxyType({})):
         self.table = table
+        self.names = names
         self.ctes: dict[str, DataFrame] = {}
 
     def build(self, e) -> DataFrame:
@@ -156,10 +159,10 @@ class Builder:
         return self.ctes[name]
 
     def rel_filter(self, source, condition) -> DataFrame:
-        return self.build(source).filter(column(condition))
+        return self.build(source).filter(column(condition, self.names))
 
     def rel_project(self, source, *items) -> DataFrame:
-        return self.build(source).select(*[column(e).alias(name) for name, e in items])
+        return self.build(source).select(*[column(e, self.names).alias(name) for name, e in items])
 
     def rel_aggregate(self, source, keys, *aggregates) -> DataFrame:
         return self.build(source).groupBy(*keys[1:]).agg(*[aggregate(f, args).alias(name) for _, name, f, *args in aggregates])
@@ -167,7 +170,7 @@ class Builder:
     def rel_join(self, left, right, keys, kind, *residual) -> DataFrame:
         a, b = self.build(left), self.build(right)
         names = [(x, y) for x, y in keys]
-        condition = column(residual[0]) if residual else None
+        condition = column(residual[0], self.names) if residual else None
         return R.join(a, b, names, {"full_outer": "full"}.get(kind[0], kind[0]), condition)
 
     def rel_union_all(self, *sources) -> DataFrame:

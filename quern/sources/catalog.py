@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.plans.tokens import Token
+from quern.operators.relational import planned_bytes
+from quern.plans.tokens import Token, from_items, given_names
 
 
 class Catalog:
@@ -13,7 +14,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, data: str):
         self.spark, self.data = spark, data.rstrip("/")
-        self._views: set[str] = set()
+        self._views: dict[str, dict[str, str]] = {}
 
     def path(self, name: str) -> str:
         return name if name.endswith(".parquet") else f"{self.data}/{name}.parquet"
@@ -26,18 +27,30 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def bind(self, tokens: list[Token]) -> None:
-        """Makes views of the tables that a query names after FROM, JOIN or a comma."""
+    def bind(self, tokens: list[Token]) -> dict[str, str]:
+        """Makes views of the tables that a query names in FROM and JOIN; the types of their columns, by name.
+
+        A column that two of the tables have with different types is left out, and one whose name the query gives to
+        something else. A dotted name is one name of a file.
+        """
         local = {tokens[i - 1].text.lower() for i, t in enumerate(tokens) if i and t.is_("AS") and i + 1 < len(tokens) and tokens[i + 1].is_("(")}
-        for i, t in enumerate(tokens):
-            if not i or t.kind not in ("word", "quoted") or not tokens[i - 1].is_("FROM", "JOIN", ",", "("):
-                continue
-            name = t.text.strip('"')
-            if name.lower() in local or name in self._views or name.endswith(".parquet") or (i + 1 < len(tokens) and tokens[i + 1].is_("(", ".")):
+        types: dict[str, set[str]] = {}
+        for start, end in from_items(tokens):
+            t = tokens[start]
+            name = "".join(x.text.strip('"') for x in tokens[start:end])
+            if t.kind not in ("word", "quoted") or (end == start + 1 and name.lower() in local) or name.endswith(".parquet"):
                 continue
-            if self.exists(name):
-                self.table(name).createOrReplaceTempView(f"`{name}`" if t.kind == "quoted" else name)
-                self._views.add(name)
+            if name not in self._views and self.exists(name):
+                self.table(name).createOrReplaceTempView(f"`{name}`")
+                self._views[name] = dict(self.spark.table(f"`{name}`").dtypes)
+            for column, kind in self._views.get(name, {}).items():
+                types.setdefault(column.lower(), set()).add(kind)
+        renamed = given_names(tokens)
+        return {column: kinds.pop() for column, kinds in types.items() if len(kinds) == 1 and column not in renamed}
+
+    def size(self, name: str) -> int | None:
+        """Bytes of a table that a query has named, as planned."""
+        return planned_bytes(self.spark.table(f"`{name}`")) if name in self._views else None
 
     def describe(self, name: str) -> list[tuple[str, str]]:
         """(column, type) of a table."""

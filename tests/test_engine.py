@@ -3,14 +3,15 @@
 import io
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quern import cli
 from quern.engine import Engine
 from quern.operators import relational as R
 from quern.plans import rewrites
-from quern.plans.dialect import dialect
-from quern.plans.tokens import DialectError, statements, text_of, tokenize
+from quern.plans.dialect import dialect, rewrite
+from quern.plans.tokens import DialectError, from_items, statements, text_of, tokenize
 from quern.sources import sinks
 
 SMALL = "/root/testdata/sf0.001"
@@ -48,6 +49,72 @@ def test_rewrites(text, want):
     assert " ".join(dialect(text).split()) == " ".join(want.split())
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (r"select a like 'x\_' as p, a like b || '\' as q, a not like c escape '!' as r from t", r"select a like 'x\\\\_' as p, a like replace(b || '\\', '\\', '\\\\') as q, a not like c escape '!' as r from t"),
+        ("select 1 as x from a.b, c where d in ('e', 'f.parquet')", "select 1 as x from `a.b`, c where d in ('e', 'f.parquet')"),
+        ("select extract(year from d) as y, substring(s from 2 for 3) as z from t", "select extract(year from d) as y, substring(s, greatest(2, 1), greatest(3, 0)) as z from t"),
+        ("select 'a' + b as x, c + 1 as y, date '2020-01-01' + 3 as z from t", "select 'a' || b as x, c + 1 as y, date '2020-01-01' + 3 as z from t"),
+        ("select sum(i + 2) as s, sum(3 * t.i) as u, sum(d + 1) as v, sum(distinct i + 1) as w from t group by i, i - 1, 2 * i, d + 1", "select (sum(CAST(i AS BIGINT)) + 2 * count(i)) as s, (3 * sum(CAST(t.i AS BIGINT))) as u, sum(d + 1) as v, sum(distinct i + 1) as w from t group by i, d + 1"),
+    ],
+)
+def test_rewrites_by_types(text, want):
+    assert " ".join(rewrite(tokenize(text), {}, {"i": "int", "d": "double"}).split()) == " ".join(want.split())
+
+
+def test_table_names_in_from():
+    items = lambda text: [text_of(tokens[a:b]) for tokens in [tokenize(text)] for a, b in from_items(tokens)]
+    assert items("select a, b from x, y z join w on f(a, b) = 1, (select c, d from v) q where e in (1, 2) and g is distinct from h") == ["x", "y", "w", "v"]
+    assert items("with t(a) as (select 1) select extract(day from a), trim(both from b) from t left join (m.n cross join o) using (k) union select c from p order by q, r") == ["t", "m.n", "o", "p"]
+    assert items("select a from range(3) r, lateral (select 1) l, \"Q\"") == ['"Q"']
+
+
+def test_renamed_columns_keep_their_types(engine):
+    view(engine, "prices", "o_custkey double", [(1.5,), (2.5,)])
+    assert got(engine, "select sum(o_custkey + 1) as s from (select o_totalprice * 0 + 0.5 as o_custkey from orders where o_orderkey < 5) t") == got(engine, "select sum(x + 1) as s from (select o_totalprice * 0 + 0.5 as x from orders where o_orderkey < 5) t")
+    assert got(engine, "with c(o_custkey) as (select 0.25e0 from orders where o_orderkey = 1) select sum(o_custkey + 1) as s from c") == [(1.25,)]
+
+
+def test_dotted_names_are_files(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "a.nation.parquet"))
+    found = Engine(spark, str(tmp_path))
+    assert [tuple(r) for r in found.sql('select sum(id) as s from a.nation union all select max(x.id) from a."nation" x').collect()] == [(3,), (2,)]
+
+
+def test_not_in_as_an_anti_join(engine):
+    view(engine, "n1", "a int, b int", [(1, 1), (2, 2), (None, 3)])
+    view(engine, "n2", "c int", [(2,), (3,)])
+    view(engine, "n3", "c int", [(2,), (None,)])
+    view(engine, "n4", "c int", [])
+    for table, want in (("n2", [(1,)]), ("n3", []), ("n4", [(1,), (2,), (3,)])):
+        for text in (f"select b from n1 where a not in (select c from {table})", f"select b from n1 x where b > 0 and x.a not in (select c from {table} where c is null or c > 0) and b < 9"):
+            assert sorted(got(engine, text)) == want
+        assert "NAAJ" not in engine.explain(f"select b from n1 where a not in (select c from {table})")
+    assert sorted(got(engine, "select b from n1 where a not in (select c from n2) or b = 3")) == [(1,), (3,)]
+
+
+def test_small_tables_come_first(engine):
+    engine.sql("select 1 as x from nation, region")
+    text = rewrite(tokenize("select l_orderkey from lineitem l, orders, region where l_orderkey = o_orderkey"), {}, {}, {"lineitem": 3, "orders": 2, "region": 1}.get)
+    assert text == "select l_orderkey from region, orders, lineitem l where l_orderkey = o_orderkey"
+    for kept in ("select * from lineitem, region", "select l.* from lineitem l, region", "select 1 as x from lineitem, (select 2 as y) t", "select count(*) as n from lineitem, unknown"):
+        assert rewrite(tokenize(kept), {}, {}, {"lineitem": 3, "region": 1}.get) == kept
+
+
+def test_windows_are_no_filters(engine):
+    with pytest.raises(AnalysisException):
+        engine.sql("select n_name from nation where rank() over (order by n_name) = 1")
+
+
+def test_row_groups_are_split_and_pruned(engine, tmp_path):
+    engine.spark.range(100_000).repartition(1).write.option("parquet.block.size", 4096).option("parquet.page.size", 1024).parquet(str(tmp_path / "g.parquet"))
+    found = Engine(engine.spark, str(tmp_path))
+    found.spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    df = found.sql("select id from g where id >= 99990")
+    assert df.rdd.getNumPartitions() > 1 and df.count() == 10
+
+
 def test_tokens():
     assert [text_of(s) for s in statements("select ';' ; create module m language python as $$ a; b $$;")] == ["select ';'", "create module m language python as $$ a; b $$"]
     with pytest.raises(DialectError):
@@ -174,11 +241,13 @@ def test_statistics(engine):
 
 def test_sexpr(engine):
     text = """(rel sort (rel aggregate (rel filter (rel source "nation" "n")
-        (: (&& (call anydb_string_view_sql_like n_name "NATION_1%") (!= |n.n_nationkey| (: 1 i64))) u8)) (keys n_regionkey) (agg n count)) (n_regionkey asc nulls-default))"""
+        (: (&& (call like n_name "NATION_1%") (!= |n.n_nationkey| (: 1 i64))) u8)) (keys n_regionkey) (agg n count)) (n_regionkey asc nulls-default))"""
     want = got(engine, "select n_regionkey, count(*) as n from nation where n_name like 'NATION_1%' and n_nationkey <> 1 group by n_regionkey order by n_regionkey")
     assert [tuple(r) for r in engine.sexpr(text).collect()] == want
     nested = '(rel project (rel join (rel source "region") (rel source "nation") ((r_regionkey n_regionkey)) (inner) (> n_nationkey 20)) (k n_nationkey) (s (if (== r_name "ASIA") 1 0)) (t (call substring r_name 0 2)))'
     assert engine.sexpr(nested).count() == 4
+    renamed = engine.sexpr('(rel project (rel source "region") (u (call shout r_name)))', {"shout": "upper"})
+    assert renamed.count() == 5
     assert engine.sexpr('(rel limit (rel source "orders") (limit 3) (offset 2))').count() == 3
     for bad in ("(rel nothing)", "(rel filter (rel source \"nation\") (call nope 1))", "(rel source", "(query (cte 0 (rel source \"nation\")))"):
         with pytest.raises(DialectError):
