@@ -40,13 +40,13 @@ def join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]] = ()
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equality join for hot keys on the left: its rows are dealt over ``salts`` copies of each right row.
+    """An equality join for hot keys on the left: its rows are dealt in turn over ``salts`` copies of each right row.
 
     Only kinds that keep or drop left rows by their own matches: inner, left, left_semi and left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join cannot be {how}")
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    dealt = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 

@@ -39,6 +39,7 @@ def got(engine, text):
         ("select sum(x) over (partition by y order by z) s from t", "select sum(x) over (partition by y order by z NULLS LAST) s from t"),
         ("select a + 1, b, t.*, count(*) n, 'x' as s, 2 from t", "select a + 1 AS col0, b, t.*, count(*) n, 'x' as s, 2 AS col5 from t"),
         ("select substr(a, 0, 2) x, 'it''s' y from t", "select substring(a, greatest(0, 1), greatest(2, 0)) x, 'it\\'s' y from t"),
+        ("select distinct(a), (t.b), (a + 1), (select 1 as x) from t order by a", "select distinct(a), (t.b), (a + 1) AS col2, (select 1 as x) AS col3 from t order by a NULLS LAST"),
         ("select x::text as y, cast(z as float) as w from t", "select x::STRING as y, cast(z as DOUBLE) as w from t"),
         ("select d + 60 days as x from t where a like 'b%'", "select d + INTERVAL '60' days as x from t where a like 'b%'"),
         ("select a from x right semi join y on k = l", "select a from y LEFT semi join x on k = l"),
