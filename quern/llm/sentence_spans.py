@@ -169,11 +169,14 @@ def drop_repeated_spans(df: DataFrame, text_col: str = "text", id_col: str = "do
     kind = df.schema[id_col].dataType.simpleString()
     docs = numbered(df, text_col, id_col)
     places = written(docs.mapInArrow(_hash_runs, f"h1 bigint, h2 int, id {kind}, number bigint, n int"), "span-places")  # read twice
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number"))
-    sums = places.groupBy("h1", "h2").agg(first.alias("first"), F.sum("n").alias("times"))
-    repeated = written(sums.filter("times > 1").select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.number").alias("first_number")), "span-repeats")
-    own = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("number") == F.col("first_number"))
-    affected = places.join(repeated, ["h1", "h2"]).withColumn("own", own).filter("NOT own OR n > 1")
+    # the least id first, as a number that is summed in place; the least number only for what is repeated
+    sums = places.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.sum("n").alias("times"))
+    repeated = written(sums.filter("times > 1").select("h1", "h2", "first_id"), "span-repeats")
+    met = written(places.join(repeated, ["h1", "h2"]).withColumn("own", F.col("id").eqNullSafe(F.col("first_id"))).drop("first_id"), "span-met")
+    firsts = met.filter("own").groupBy("h1", "h2").agg(F.min("number").alias("first"))
+    # a row of the least id is the first place if it has the least number of them
+    own = F.col("own") & (F.col("number") == F.col("first"))
+    affected = met.join(firsts, ["h1", "h2"]).withColumn("own", own).filter("NOT own OR n > 1")
     lists = affected.groupBy("id", "number").agg(F.collect_list(F.struct("h1", "h2", "own")).alias("gone"))  # of one row
     lists = lists.select(F.col("id").alias("of"), F.col("number").alias("of_number"), "gone")
     met = docs.join(lists, (docs["number"] == lists["of_number"]) & docs["id"].eqNullSafe(lists["of"]), "left").select("id", "text", "gone")
