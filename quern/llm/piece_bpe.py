@@ -3,7 +3,8 @@
 The merge procedure joins, again and again, the adjacent pair whose joined piece scores best, leftmost first. Its
 result is found here without playing all merges over a text:
 
-* An Aho-Corasick automaton gives every piece that starts at each position, longest first.
+* An Aho-Corasick automaton gives the longest piece that starts at a position; each piece knows the next shorter one
+  that begins it.
 * A candidate may follow the token before it only if merging just the two tokens' characters again gives back those
   two tokens. Answers are remembered by pair.
 * Where no candidate fits, the position is marked in a bitfield of failed positions, the last token is taken back
@@ -65,13 +66,24 @@ class PieceModel:
         self.known_chars = {p for p in self.ids if len(p) == 1}
         self.tied_cores = [p for p in self.tied if not any(q in p for q in self.tied if q != p)]
         automaton = ahocorasick.Automaton()
-        for p, i in self.ids.items():
-            if len(p) == 1 or self.merge(p) == [p]:
-                automaton.add_word(p, (len(p), i))
+        self.lengths = [len(p) for p in self.pieces]
+        self.shorter = [-1] * size  # the longest piece that begins a piece and is not it
+        #: The longest piece that begins each string that begins a piece.
+        self.begins: dict[str, int] = {}
+        whole = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [p]}
+        for p, i in whole.items():
+            automaton.add_word(p, i)
+            best = -1
+            for k in range(1, len(p)):
+                best = self.begins[p[:k]] = whole.get(p[:k], best)
+            self.begins[p], self.shorter[i] = i, best
         automaton.make_automaton()
         self.automaton = automaton
+        self.longest = max(map(len, whole), default=1)
         self.most_words, self.most_pairs = most_words, most_pairs
+        # words of late, and those of the time before, so that frequent ones are not forgotten with the rest
         self._words: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
         self._pairs: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -103,21 +115,30 @@ class PieceModel:
         for core in self.tied_cores:
             if core in text:
                 return [self.ids[p] for p in self._merge_long(text)]
-        starts: list[list[tuple[int, int]]] = [[] for _ in text]
-        for end, match in self.automaton.iter(text):
-            starts[end - match[0] + 1].append(match)
-        fits, last = self._fits, len(text)
-        failed, pos, tokens = 0, 0, []
+        begins, longest, match, shorter, lengths = self.begins, self.longest, self.automaton.longest_prefix, self.shorter, self.lengths
+        pairs, size, last = self._pairs, len(self.pieces), len(text)
+        failed, pos, before, tokens = 0, 0, -1, []
         while pos < last:
-            before = tokens[-1] if tokens else -1
-            for length, i in reversed(starts[pos]):
-                if not failed >> (pos + length) & 1 and (before < 0 or fits(before, i)):
-                    tokens.append(i)
-                    pos += length
+            rest = text[pos : pos + longest]
+            piece = begins[rest[: match(rest)]]
+            while True:
+                while piece >= 0:
+                    if not failed >> (pos + lengths[piece]) & 1:
+                        if before < 0 or pairs.get(before * size + piece):
+                            break
+                        if before * size + piece not in pairs and self._fits(before, piece):
+                            break
+                    piece = shorter[piece]
+                if piece >= 0:
                     break
-            else:
                 failed |= 1 << pos
-                pos -= len(self.pieces[tokens.pop()])
+                taken = tokens.pop()
+                pos -= lengths[taken]
+                before = tokens[-1] if tokens else -1
+                piece = shorter[taken]
+            tokens.append(piece)
+            pos += lengths[piece]
+            before = piece
         return tokens
 
     def _merge_long(self, text: str) -> list[str]:
@@ -167,17 +188,17 @@ class PieceModel:
         if not text:
             return []
         found = _WORDS.findall(MARK + text.replace(" ", MARK))
-        words = self._words
+        words, older = self._words, self._older
         new = set(found).difference(words)
         for word in new:
-            words[word] = self._word(word)
+            words[word] = older.get(word) or self._word(word)
         out = list(chain.from_iterable(map(words.__getitem__, found)))
         if new:
             for word in new:
                 if len(word) > 48:
                     del words[word]
             if len(words) > self.most_words:
-                words.clear()
+                self._words, self._older = {}, words
         return out
 
     def decode(self, ids: list[int]) -> str:
