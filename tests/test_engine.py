@@ -163,6 +163,28 @@ def test_modules(engine):
         engine.sql("select pair(1::bigint) as (x, y, z)")
 
 
+def test_overloads_by_type(spark):
+    engine = Engine(spark, SMALL)
+    engine.run("""create module kinds language python as $$
+def whole(x): return x + 1
+def text(x): return x + "!"
+def both(x, y): return f"{x}{y}"
+def turned(x, y): return y, x
+$$;
+create function g(bigint) returns bigint set module to kinds set symbol to whole;
+create function g(text) returns text set module to kinds set symbol to text;
+create function g(bigint, text) returns text set module to kinds set symbol to both;
+create function g(text, bigint) returns (bigint, text) set module to kinds set symbol to turned""")
+    text = "select g(s_suppkey) as a, g(s_name) as b, g(s_suppkey, 'x') as c, g(g(s_suppkey)) as d, g(coalesce(s_name, '')) as e, g(7) as f, g(s_name || '') as h from supplier where s_suppkey = 1"
+    with pytest.raises(DialectError, match="cast them"):
+        engine.sql(text)
+    name = got(engine, "select s_name as n from supplier where s_suppkey = 1")[0][0]
+    assert got(engine, text.replace("s_name || ''", "(s_name || '')::text")) == [(2, name + "!", "1x", 3, name + "!", 8, name + "!")]
+    assert got(engine, "select g(s_name, s_suppkey) as (k, n) from supplier where g(s_suppkey) = 2") == [(1, name)]
+    with pytest.raises(DialectError, match="no g with 3"):
+        engine.sql("select g(1, 2, 3) as x")
+
+
 @pytest.mark.parametrize(
     ("text", "said"),
     [
