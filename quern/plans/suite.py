@@ -266,7 +266,7 @@ sql("q8_not_in_large", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SE
 sql("q8_not_in_with_nulls", "SELECT n_nationkey FROM nation WHERE nullif(n_regionkey, 1) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey = 2) AND n_regionkey NOT IN (SELECT nullif(r_regionkey, 2) FROM region WHERE r_regionkey > 3) AND n_nationkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 90)")
 
 # the rest of the benchmark's shapes; what the tables lack is made from what they have
-_PARTSUPP = "partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, count(*) AS ps_availqty, min(round(l_extendedprice / l_quantity, 2)) AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey)"
+_PARTSUPP = "partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, count(*) AS ps_availqty, min(l_extendedprice) AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey)"
 sql(
     "tpch_q2",
     f"""WITH {_PARTSUPP} SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part, supplier, partsupp, nation, region
