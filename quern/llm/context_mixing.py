@@ -16,9 +16,11 @@ corpus: four slots at least for each distinct place, up to ``most_slots`` (the m
 otherwise; no text is left out of the counts). A slot has a check byte, so that a context that is not held counts as
 unseen but for one in 256; of several that meet in one slot the most frequent is held.
 
-Only the starting weights and refinement are fitted on a bounded sample: the ``most_tuning`` least by a hash of id and
-text among one text in sixteen at most, none of over a million characters. They are fitted against predictors counted
-without that part, so that the fit is honest; the part counts in the final predictors like all other texts.
+The starting weights and refinement are fitted on every place of every training text, each as often as it occurs. So
+that the fit is honest, the texts are dealt into two halves by a hash of id and text, and each half is fitted against
+predictors counted in the other; the final predictors count both. The summed places hold all that the fit needs: equal
+inputs under one gate are added up (``_count_inputs``), and Newton steps over those sums (``start_of``) find the weights
+of least cost, with the strength of ``PRIOR`` decisions for ``FIRST_WEIGHT``, and then the refinement.
 
 Beside it stands the base score by counts of tokens over the training texts: the counts of tokens that make up at
 least one in ``most_head`` of all training tokens are broadcast, and the rest of the tokens are joined with the full
@@ -56,6 +58,10 @@ UNSEEN = -128
 FIRST_STEP, MOST_STEP, FULL_STEP = 64, 4096, 64
 #: Bins of the refining stage, by half units of the stretched mix.
 BINS = 16
+#: What weights are where nothing is learned, the strength of that, Newton steps at most, and the last step's size.
+FIRST_WEIGHT, PRIOR, MOST_STEPS, LAST_STEP = 0.3, 16.0, 25, 1e-5
+#: Parts of a bin of the refining stage that are told apart in its fit.
+FINE = 64
 #: Places of the cache of distinct keys, and decisions that it holds at most.
 CACHE_BITS, POOL = 21, 1 << 24
 
@@ -289,7 +295,7 @@ class MixModel:
 
 def fitted(code: Code, table: Table, texts: list[bytes], passes: int = 4) -> MixModel:
     """A model over the predictors of ``table``, with the weights and refinement that the texts end with on average."""
-    model = MixModel(code, table, np.full((len(ORDERS), len(ORDERS)), 0.3), np.zeros(BINS))
+    model = MixModel(code, table, np.full((len(ORDERS), len(ORDERS)), FIRST_WEIGHT), np.zeros(BINS))
     if texts:
         for _ in range(passes):
             model.cost(texts, learn=True)
@@ -357,7 +363,7 @@ def _count_nodes(code: Code, block_shift: int):
 
 
 def _fill_blocks(bits: int):
-    """(block, slots, slots without tuning texts) of a table from its summed nodes, as bytes."""
+    """(block, slots, slots without tuning texts, slots of tuning texts alone) of a table from its summed nodes, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = (1 << bits) // BLOCKS
@@ -370,22 +376,22 @@ def _fill_blocks(bits: int):
             node, total = number("node")[order].view(np.uint64), total[order]
             at = (node >> np.uint64(64 - bits)).astype(np.int64)
             check = node.astype(np.int8).astype(np.int16) * 256
-            held = [(check + number(c)[order]).astype(np.int16) for c in ("x", "x_fit")]
+            held = [(check + number(c)[order]).astype(np.int16) for c in ("x", "x_without", "x_tuning")]
             for block in np.unique(at // size).tolist():
-                best, *slots = blocks.setdefault(block, (np.zeros(size, np.int64), np.zeros(size, np.int16), np.zeros(size, np.int16)))
+                best, *slots = blocks.setdefault(block, (np.zeros(size, np.int64), *[np.zeros(size, np.int16) for _ in held]))
                 rows = np.flatnonzero(at // size == block)
                 rows = rows[total[rows] > best[at[rows] % size]]
                 best[at[rows] % size] = total[rows]
                 for mine, new in zip(slots, held, strict=True):
                     mine[at[rows] % size] = new[rows]
         for block, (_, *slots) in blocks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([s.tobytes()], pa.binary()) for s in slots]], names=["block", "slots", "fit"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([s.tobytes()], pa.binary()) for s in slots]], names=["block", "slots", "without", "tuning"])
 
     return run
 
 
-def predictors(texts: DataFrame, most_slots: int = 1 << 25) -> tuple[Code, Table, Table]:
-    """The code, the table of all rows of ``texts`` (text, tuning), and the table of those that are not for tuning."""
+def _counted(texts: DataFrame, most_slots: int) -> tuple[DataFrame, Code, list[Table]]:
+    """(places, code, tables of all rows of ``texts`` (text, tuning), of those not for tuning, and of those for tuning)."""
     places = texts.mapInArrow(_count_grams, "context bigint, byte smallint, n bigint, n_tuning bigint")
     places = places.repartition("context").groupBy("context", "byte").agg(F.sum("n").alias("n"), F.sum("n_tuning").alias("n_tuning"))
     places = written(places, "lm-places")
@@ -406,27 +412,149 @@ def predictors(texts: DataFrame, most_slots: int = 1 << 25) -> tuple[Code, Table
         return F.when(zeros + ones > 0, bounded).otherwise(0).cast("smallint")
 
     whole = stretched(F.col("zeros"), F.col("ones"))
-    part = stretched(F.col("zeros") - F.col("zeros_t"), F.col("ones") - F.col("ones_t"))
-    filled = sums.select("node", "zeros", "ones", whole.alias("x"), part.alias("x_fit")).mapInArrow(_fill_blocks(bits), "block int, slots binary, fit binary")
-    tables = [np.zeros(1 << bits, np.int16) for _ in range(2)]
+    without = stretched(F.col("zeros") - F.col("zeros_t"), F.col("ones") - F.col("ones_t"))
+    tuning = stretched(F.col("zeros_t"), F.col("ones_t"))
+    filled = sums.select("node", "zeros", "ones", whole.alias("x"), without.alias("x_without"), tuning.alias("x_tuning"))
+    filled = filled.mapInArrow(_fill_blocks(bits), "block int, slots binary, without binary, tuning binary")
+    tables = [np.zeros(1 << bits, np.int16) for _ in range(3)]
     size = (1 << bits) // BLOCKS
-    for batch in filled.toArrow().to_batches():  # four bytes a slot in all
+    for batch in filled.toArrow().to_batches():  # six bytes a slot in all
         for row in range(batch.num_rows):
             block = batch.column(0)[row].as_py()
             for table, slots in zip(tables, batch.columns[1:], strict=True):
                 table[block * size : (block + 1) * size] = np.frombuffer(slots[row].as_buffer(), np.int16)
-    return code, Table(bits, tables[0]), Table(bits, tables[1])
+    return places, code, [Table(bits, t) for t in tables]
+
+
+def predictors(texts: DataFrame, most_slots: int = 1 << 25) -> tuple[Code, Table, Table]:
+    """The code, the table of all rows of ``texts`` (text, tuning), and the table of those that are not for tuning."""
+    _, code, (table, without, _) = _counted(texts, most_slots)
+    return code, table, without
+
+
+def _count_inputs(shared):
+    """(input, n) of the decisions of summed places: the gate << 32 | predictions from the other half times their signs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        waiting: list[tuple[np.ndarray, ...]] = []
+
+        def found() -> Iterator[tuple[np.ndarray, ...]]:
+            keys, n, tuning = map(np.concatenate, zip(*waiting, strict=True))
+            for model, times in zip(shared.value, (n - tuning, tuning), strict=True):
+                mine = np.flatnonzero(times)
+                if len(mine):
+                    x, gate = model.inputs(keys[mine])
+                    sizes = model.code.sizes(keys[mine])
+                    yield x.view(np.uint32).ravel().astype(np.int64) | np.repeat(gate.astype(np.int64) << 32, sizes), np.repeat(times[mine], sizes)
+
+        def rows(inputs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(inputs), pa.array(n.astype(np.int64))], names=["input", "n"])
+
+        for batch in batches:
+            number = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            waiting.append(((number("context").astype(np.uint64) << np.uint64(8)) | number("byte").astype(np.uint64), number("n"), number("n_tuning")))
+            if sum(len(w[0]) for w in waiting) > 1 << 16:
+                held += found()
+                waiting.clear()
+            if sum(len(h[0]) for h in held) > 1_500_000:
+                held = [_summed(held)]
+                if len(held[0][0]) > 750_000:
+                    yield rows(*held.pop())
+        if waiting:
+            held += found()
+        if held:
+            yield rows(*_summed(held))
+
+    return run
+
+
+def _slopes(weights: np.ndarray):
+    """(sums) of one pass over inputs, as bytes: by gate the cost, its slopes and its curvature; right and wrong decisions by parts of bins."""
+    n_in = len(ORDERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost, slope, curve = np.zeros(n_in), np.zeros((n_in, n_in)), np.zeros((n_in, n_in, n_in))
+        parts = np.zeros(2 * BINS * FINE)
+
+        def add(inputs: np.ndarray, n: np.ndarray) -> None:
+            gate = inputs >> 32
+            x = inputs.astype(np.uint32).view(np.int8).reshape(-1, n_in) / SCALE
+            mixed = (x * weights[gate]).sum(axis=1)
+            error = 1 / (1 + np.exp(mixed))
+            cost[:] += np.bincount(gate, n * np.logaddexp(0, -mixed), n_in)
+            for g in np.unique(gate).tolist():
+                mine = gate == g
+                xs, times = x[mine], n[mine] * error[mine]
+                slope[g] -= times @ xs
+                curve[g] += (xs * (times * (1 - error[mine]))[:, None]).T @ xs
+            place = (np.minimum(np.abs(mixed), LIMIT) * (2 * FINE)).astype(np.int64)
+            parts[:] += np.bincount((place + BINS * FINE * (mixed < 0))[mixed != 0], n[mixed != 0], len(parts))
+
+        waiting: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            waiting.append((batch.column("input").to_numpy(), batch.column("n").to_numpy()))
+            if sum(len(w[0]) for w in waiting) > 1 << 15:
+                add(*map(np.concatenate, zip(*waiting, strict=True)))
+                waiting.clear()
+        if waiting:
+            add(*map(np.concatenate, zip(*waiting, strict=True)))
+        sums = np.concatenate([cost, slope.ravel(), curve.ravel(), parts])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    return run
 
 
-def train(df: DataFrame, keep: Column, most_tuning: int = 400, text_col: str = "text", id_col: str = "doc_id", most_slots: int = 1 << 25) -> MixModel:
+def _refinement(parts: np.ndarray) -> np.ndarray:
+    """The refinement of least cost in each bin, by Newton steps over the right and wrong decisions of its parts."""
+    right, wrong = parts.reshape(2, BINS, FINE)
+    at = (np.arange(BINS * FINE).reshape(BINS, FINE) + 0.5) / (2 * FINE)
+    refine = np.zeros(BINS)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-at - refine[:, None]))
+        slope = (wrong * p - right * (1 - p)).sum(axis=1) + PRIOR * refine
+        curve = ((right + wrong) * p * (1 - p)).sum(axis=1) + PRIOR
+        refine -= np.clip(slope / curve, -0.5, 0.5)
+    return refine
+
+
+def start_of(inputs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The weights and refinement of least cost over summed ``inputs`` (input, n)."""
+    n_in = len(ORDERS)
+
+    def passed(weights: np.ndarray) -> tuple[np.ndarray, ...]:
+        # a row of fixed size from each task
+        sums = sum((np.frombuffer(r[0]) for r in inputs.mapInArrow(_slopes(weights), "sums binary").collect()), np.zeros(n_in + n_in**2 + n_in**3 + 2 * BINS * FINE))
+        cost, slope, curve, parts = np.split(sums, np.cumsum([n_in, n_in**2, n_in**3]))
+        off = weights - FIRST_WEIGHT
+        curve = curve.reshape(n_in, n_in, n_in) + PRIOR * np.eye(n_in)
+        return cost + PRIOR / 2 * (off**2).sum(axis=1), slope.reshape(n_in, n_in) + PRIOR * off, curve, parts
+
+    weights = np.full((n_in, n_in), FIRST_WEIGHT)
+    cost, slope, curve, parts = passed(weights)
+    scale = np.ones(n_in)
+    for _ in range(MOST_STEPS):
+        step = np.linalg.solve(curve, slope[:, :, None])[:, :, 0] * scale[:, None]
+        if np.abs(step).max() < LAST_STEP:
+            break
+        tried = passed(weights - step)
+        better = tried[0] <= cost + 1e-9 * np.abs(cost)  # each gate by itself; where a step went too far it is halved
+        scale = np.where(better, 1.0, scale / 2)
+        weights = np.where(better[:, None], weights - step, weights)
+        cost, slope, curve = (np.where(better.reshape(-1, *[1] * (old.ndim - 1)), new, old) for new, old in zip(tried[:3], (cost, slope, curve), strict=True))
+        parts = tried[3] if better.all() else passed(weights)[3]
+    return np.round(weights, 6), np.round(_refinement(parts), 6)  # the order of sums leaves no trace
+
+
+def train(df: DataFrame, keep: Column, text_col: str = "text", id_col: str = "doc_id", most_slots: int = 1 << 25) -> MixModel:
     """A model from the rows of ``df`` for which ``keep`` holds."""
-    rows = df.filter(keep).select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("hash"))
-    share = int(min(1 / 16, most_tuning / max(1, df.filter(keep).count())) * (1 << 30))
-    tuning = F.pmod("hash", F.lit(1 << 30)) < share
-    code, table, without = predictors(rows.select("text", tuning.alias("tuning")), most_slots)
-    sample = rows.filter(tuning & (F.coalesce(F.length("text"), F.lit(0)) <= 1_000_000)).distinct().orderBy("hash", "text").limit(most_tuning).toPandas()
-    start = fitted(code, without, sorted(coded(t) for t in sample["text"]))
-    return MixModel(code, table, start.weights, start.refine)
+    half = F.xxhash64(F.col(id_col).cast("string"), text_col).bitwiseAND(F.lit(1)) == 1
+    texts = df.filter(keep).select(F.col(text_col).alias("text"), half.alias("tuning"))
+    places, code, (table, without, tuning) = _counted(texts, most_slots)
+    none = np.zeros((len(ORDERS), len(ORDERS))), np.zeros(BINS)
+    shared = df.sparkSession.sparkContext.broadcast((MixModel(code, tuning, *none), MixModel(code, without, *none)))
+    inputs = places.mapInArrow(_count_inputs(shared), "input bigint, n bigint").groupBy("input").agg(F.sum("n").alias("n"))
+    return MixModel(code, table, *start_of(written(inputs, "lm-inputs")))
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -295,6 +295,33 @@ def test_predictors_against_counting(spark):
         assert wrong <= 0.01 * total
 
 
+def test_start_is_fitted_on_every_place_against_the_other_half(spark, monkeypatch):
+    """All decisions of all texts, long and repeated ones too; the weights have the least cost of any near them."""
+    taken = []
+    solve = context_mixing.start_of
+    monkeypatch.setattr(context_mixing, "start_of", lambda inputs: taken.append(inputs) or solve(inputs))
+    rows = [(k % 50, f"text {k % 60} of some, the cat sat on mat {k * k % 83}") for k in range(90)] + [(None, None), (99, "so long a text " * 70_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = context_mixing.train(docs, F.lit(True))
+    halves = docs.select("text", (F.xxhash64(F.col("doc_id").cast("string"), "text").bitwiseAND(F.lit(1)) == 1).alias("tuning"))
+    _, code, (_, without, tuning) = context_mixing._counted(halves, 1 << 25)
+    want = collections.Counter()
+    for half, table in ((False, tuning), (True, without)):
+        keys, times = np.unique(context_mixing.grams([context_mixing.coded(r["text"]) for r in halves.filter(F.col("tuning") == half).collect()]), return_counts=True)
+        x, gate = context_mixing.MixModel(code, table, model.weights, model.refine).inputs(keys)
+        for row, k in zip(x.tolist(), np.repeat(np.arange(len(keys)), code.sizes(keys)).tolist(), strict=True):
+            want[int(gate[k]), tuple(row)] += int(times[k])
+    found = {(r["input"] >> 32, tuple(np.array([r["input"]]).astype(np.uint32).view(np.int8).tolist())): r["n"] for r in taken[0].collect()}
+    assert found == want
+    gates, x, n = (np.array(v, float) for v in zip(*[(g, x, n) for (g, x), n in want.items()], strict=True))
+
+    def cost(weights):
+        return (n * np.logaddexp(0, -(x / 16 * weights[gates.astype(int)]).sum(axis=1))).sum() + context_mixing.PRIOR / 2 * ((weights - context_mixing.FIRST_WEIGHT) ** 2).sum()
+
+    rng = np.random.default_rng(4)
+    assert all(cost(model.weights) < cost(model.weights + rng.normal(0, 0.02, model.weights.shape)) for _ in range(30))
+
+
 def test_repeated_spans_against_brute_force(spark, docs):
     found = run(spark, "op6_substring_dedup")
     runs = {i: sentence_spans.runs(sentence_spans.units(t)) for i, t, _ in docs}
