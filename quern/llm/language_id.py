@@ -5,7 +5,7 @@ spaces have words too and every letter counts. Its script narrows the candidate
 in training; each candidate gets a score from hashed character n-grams. A Viterbi pass over the words of a
 text, with a penalty for each switch of language, labels every word, and neighbours with one label make a span.
 
-Training takes whole labelled texts, ``most_docs`` a language at most in expectation (by a hash of id and text, so
+Training takes whole labelled texts, ``most_docs`` a language at most in expectation (all if it is infinite; by a hash of id and text, so
 that the choice does not depend on the order of rows, and rows without an id are like others). Counts are summed on the executors; what comes back is one number for each language
 and n-gram bucket, which no corpus can make larger.
 
@@ -197,7 +197,7 @@ class LanguageModel:
         return out
 
 
-def chosen_rows(df: DataFrame, keep: Column, most_docs: int, lang_col: str, id_col: str, text_col: str) -> DataFrame:
+def chosen_rows(df: DataFrame, keep: Column, most_docs: float, lang_col: str, id_col: str, text_col: str) -> DataFrame:
     """Labelled rows to train on: all, or about ``most_docs`` a language by a hash of the id."""
     rows = df.filter(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -208,25 +208,33 @@ def chosen_rows(df: DataFrame, keep: Column, most_docs: int, lang_col: str, id_c
     return rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(1 << 30)) < limit)
 
 
-def train(df: DataFrame, keep: Column, most_docs: int = 3000, n_buckets: int = 1 << 15, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
+def train(df: DataFrame, keep: Column, most_docs: float = 3000, n_buckets: int = 1 << 15, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
     """A model from the rows of ``df`` for which ``keep`` holds and a language is given."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        words: dict[str, Counter] = {}
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for lang in sorted(k for k, found in words.items() if found):
+                mine = list(words[lang].items())
+                row = np.zeros(n_buckets + len(SCRIPTS))
+                for a in range(0, len(mine), SOME_WORDS):
+                    some = mine[a : a + SOME_WORDS]
+                    times = np.array([n for _, n in some])
+                    bucket, owner = gram_buckets([w for w, _ in some], n_buckets)
+                    row += np.bincount(bucket, times[owner], len(row))
+                    scripts = _SCRIPT_OF[np.searchsorted(_STARTS, [ord(w[0]) for w, _ in some], "right") - 1]
+                    row[n_buckets:] += np.bincount(scripts, times, len(SCRIPTS))
+                seen = np.flatnonzero(row)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen), pa.array(row[seen].astype(np.int64))], names=["lang", "bucket", "n"])
+            words.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                words.update((lang, w) for w in words_of(text))
-        for lang in sorted({k for k, _ in words}):
-            mine = [(w, n) for (k, w), n in words.items() if k == lang]
-            row = np.zeros(n_buckets + len(SCRIPTS))
-            for a in range(0, len(mine), SOME_WORDS):
-                some = mine[a : a + SOME_WORDS]
-                times = np.array([n for _, n in some])
-                bucket, owner = gram_buckets([w for w, _ in some], n_buckets)
-                row += np.bincount(bucket, times[owner], len(row))
-                np.add.at(row, n_buckets + np.array([script(w[0]) for w, _ in some]), times)
-            seen = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen), pa.array(row[seen].astype(np.int64))], names=["lang", "bucket", "n"])
+                words.setdefault(lang, Counter()).update(words_of(text))
+            if sum(map(len, words.values())) > 500_000:
+                yield from sums()
+        yield from sums()
 
     rows = chosen_rows(df, keep, most_docs, lang_col, id_col, text_col).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sums = rows.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()

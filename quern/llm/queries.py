@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
@@ -74,7 +75,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4, 2)
-    langs = language_id.train(docs, ~held_out, most_docs=1000)
+    langs = language_id.train(docs, ~held_out, most_docs=math.inf)
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out, langs)
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
 

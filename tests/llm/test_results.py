@@ -488,6 +488,45 @@ def test_thresholds_by_language_against_every_cut():
     assert math.isclose(f1(toxicity.best_threshold(raw, labels, weight)), max(map(f1, raw)), rel_tol=1e-12)
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """However many texts and shards, long and repeated ones too, and however ids are joined: every row trains, or sets thresholds."""
+    calls = []
+    fit_shards = toxicity.fit_shards
+    monkeypatch.setattr(toxicity, "fit_shards", lambda texts, *rest: calls.append((texts, *rest)) or fit_shards(texts, *rest))
+    texts = {k: f"word{k} of {'vile' if k % 5 == 0 else 'mild'} things {k * 7 % 31}" for k in range(400)} | {400: "long and mild " * 80_000, 401: "mild and long " * 80_000, 402: None, 403: ""}
+    docs = spark.createDataFrame([*texts.items(), (3, texts[3]), (None, "vile")], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in texts], "doc_id long, toxic int")
+    nobody = language_id.LanguageModel([], np.zeros((1, 0)), np.zeros((len(language_id.SCRIPTS), 0), bool))
+    learned = [k for k in [*texts, 3] if zlib.crc32(f"part {k}".encode()) % 4]
+    want = sorted((toxicity.hashed(toxicity.tokens(texts[k])).tolist(), int(k % 5 == 0)) for k in learned)
+    models = [toxicity.train(df, labels, F.lit(True), nobody, shard_chars=600_000, most_ids=most) for df, most in ((docs, 1 << 21), (docs.repartition(2), 1 << 21), (docs, 10))]
+    for found, shards, rounds, balance in calls:
+        rows = found.collect()
+        base = np.arange(toxicity.PARTS) * toxicity.BUCKETS
+        assert sorted(((np.frombuffer(r["words"], np.uint16).reshape(-1, toxicity.PARTS) + base).tolist(), r["label"]) for r in rows) == want
+        assert shards == 2 and {r["shard"] for r in rows} == {0, 1} and rounds == toxicity.MOST_ROUNDS
+        assert np.allclose(balance, [len(want) / 2 / sum(y == k for _, y in want) for k in (0, 1)])
+    for model in models[1:]:  # the order of rows leaves no trace
+        assert model.default == models[0].default and np.allclose(model.net.flat(), models[0].net.flat(), atol=1e-5)
+    checked = [k for k in [*texts, 3] if zlib.crc32(f"part {k}".encode()) % 4 == 0]
+    raw = models[0].raw([texts[k] for k in checked])[0]
+    y = np.array([float(k % 5 == 0) for k in checked])
+    assert math.isclose(models[0].default, toxicity.best_threshold(np.round(raw * toxicity.FINE) / toxicity.FINE, y, np.ones(len(y))), abs_tol=2 / toxicity.FINE)
+
+
+def test_long_texts_are_read_in_pieces():
+    rng = np.random.default_rng(8)
+    net = toxicity.Network.fresh(5)
+    texts = [toxicity.hashed([f"w{k}" for k in rng.integers(0, 60, n)]) for n in (0, 1, 2, 7, 40, 41, 133)]
+    (best, top), (want, place) = (toxicity.peaks(net, texts, most) for most in (7, 1000))
+    assert np.allclose(best, want, atol=1e-5) and (top == place).mean() > 0.99  # equal sums may differ in their last digits
+
+
+def test_equal_raw_scores_are_not_parted():
+    raw, labels, weight = np.array([2.0, 1, 1, 0]), np.array([1.0, 1, 0, 0]), np.array([1.0, 1, 9, 9])
+    assert toxicity.best_threshold(raw, labels, weight) == 1.5
+
+
 def test_sentence_runs_against_tuples(spark):
     """Texts of known sentences: runs as tuples of their words, covered places counted by hand."""
     rng = random.Random(12)
