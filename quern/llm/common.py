@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -65,6 +66,49 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20
         yield batch.slice(start)
 
 
+#: What this worker keeps from task to task.
+_kept: dict[tuple, object] = {}
+
+#: Not there on every system.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def kept(make: Callable, *args: object) -> object:
+    """``make(*args)``, made once in a worker and kept from task to task, until a task keeps or needs something else."""
+    key = (make, args)
+    if key not in _kept:
+        forget()
+        _kept[key] = make(*args)
+    return _kept[key]
+
+
+def forget() -> None:
+    _kept.clear()
+
+
+def give_back() -> None:
+    """Free memory goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable, keeps: bool = False) -> Callable:
+    """An Arrow function that leaves its worker small: workers stay, and count as memory of the executor, while later stages run.
+
+    Before a task the worker forgets what other operators kept in it (with ``keeps`` that is left to ``kept``), and
+    after a task it gives back what is free.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def small_batches(spark: SparkSession, most_rows: int = 2000) -> None:
     """Lowers the session's rows in an Arrow batch, where they are more, for functions that hand whole rows on."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import carried, text_slices, written
+from quern.llm.common import carried, lean, text_slices, written
 
 Q = 12
 RATE = 0.05
@@ -277,7 +277,7 @@ def contaminated(
                     lists = pa.array([sorted(s, key=lambda i: (i is not None, i)) for s in items], pa.list_(item_type))
                     yield pa.RecordBatch.from_arrays([*map(part.column, inner), lists], names=[*names, "benchmark_items"])
 
-        return rows.mapInArrow(run, f"{kinds}, benchmark_items {list_kind}")
+        return rows.mapInArrow(lean(run), f"{kinds}, benchmark_items {list_kind}")
 
     rows, inner, name, kinds = carried(df, keep, text_col)
     parts = blocks(benchmark.select(item_id, item_text), block_bytes)

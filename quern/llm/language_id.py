@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import carried, text_slices
+from quern.llm.common import carried, lean, text_slices
 
 UND = "und"
 #: Letters in a word at most.
@@ -237,7 +237,7 @@ def train(df: DataFrame, keep: Column, most_docs: float = 3000, n_buckets: int =
         yield from sums()
 
     rows = chosen_rows(df, keep, most_docs, lang_col, id_col, text_col).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sums = rows.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.mapInArrow(lean(count), "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
     table = np.zeros((n_buckets + len(SCRIPTS), max(1, len(langs))))
     if langs:
@@ -275,4 +275,4 @@ def label_spans(df: DataFrame, model: LanguageModel, text_col: str = "text", id_
                 span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
                 yield pa.RecordBatch.from_arrays([*map(part.column, inner), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], names=[*keep, "lang_pred", "score", "spans"])
 
-    return rows.mapInArrow(predict, f"{kinds}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return rows.mapInArrow(lean(predict), f"{kinds}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -29,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import text_slices
+from quern.llm.common import kept, lean, text_slices
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -38,7 +37,7 @@ _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 class PieceModel:
     """A merge-type model with byte fallback and an added leading space, read from a SentencePiece file."""
 
-    def __init__(self, path: str, most_words: int = 400_000, most_pairs: int = 500_000):
+    def __init__(self, path: str, most_words: int = 200_000, most_pairs: int = 500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -230,10 +229,9 @@ class PieceModel:
         return (text[1:] if led else text).replace(MARK, " ")
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> PieceModel:
-    """The model of a file; a worker keeps it, with what it remembers, from task to task."""
-    return PieceModel(path)
+    """The model of a file; a worker keeps it, with what it remembers, from task to task until another operator runs."""
+    return kept(PieceModel, path)
 
 
 def characters(raw: bytes) -> str:
@@ -270,4 +268,4 @@ def encode_pieces(df: DataFrame, path: str, text_col: str = "text", id_col: str
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return rows.mapInArrow(lean(encode, keeps=True), f"`{id_col}` {kind}, ids array<int>, decoded string")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import carried, text_slices, written
+from quern.llm.common import carried, lean, text_slices, written
 
 BITS = 64
 RADIUS = 4
@@ -74,7 +74,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     else:
         rows, inner, kinds = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], f"id {df.schema[id_col].dataType.simpleString()}"
         out = inner
-    return rows.mapInArrow(run, f"{kinds}, fp bigint")
+    return rows.mapInArrow(lean(run), f"{kinds}, fp bigint")
 
 
 def masks(places: list[int], radius: int = RADIUS) -> list[int]:
@@ -151,7 +151,7 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
         return distinct.select("fp", F.explode(each).alias("b")).select("b.t", "b.key", "fp")
 
     def linked(rows: DataFrame) -> DataFrame:
-        return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(bucket_links, "a bigint, b bigint")
+        return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(lean(bucket_links), "a bigint, b bigint")
 
     rows = banded(list(enumerate(FIRST)))
     large = written(rows.groupBy("t", "key").count().filter(F.col("count") > hot).select("t", "key"), "simhash-hot")

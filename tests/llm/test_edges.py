@@ -1,12 +1,16 @@
 """Nulls in any column, empty and very long texts, ties and repeated rows, empty tables, clashing extra columns."""
 
+import gc
+import weakref
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import context_mixing, decontaminate, host_rules, language_id, secrets, sentence_spans, simhash, toxicity
-from quern.llm.piece_bpe import encode_pieces
+from quern.llm.piece_bpe import PieceModel, encode_pieces
 from quern.llm.token_counts import count_tokens
 
 LONG = "the quick brown fox jumps over the lazy dog. " * 4000
@@ -121,6 +125,31 @@ def test_near_duplicates_leave_one_row_of_each_class(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, a), (None, b), (1, c), (1, d), (3, None)]))
 
 
+@pytest.mark.parametrize("after", ["train", "label", "fingerprints", "links", "contaminated"])
+def test_a_worker_forgets_the_pieces_when_another_operator_runs(spark, items, monkeypatch, after):
+    some = spark.createDataFrame([(1, "some words of a text", "en", 5)], "doc_id long, text string, lang string, fp long")
+    functions = []
+    with monkeypatch.context() as m:
+        plain = type(some).mapInArrow
+        m.setattr(type(some), "mapInArrow", lambda self, f, kinds: functions.append(f) or plain(self, f, kinds))
+        encode_pieces(some, PIECES)
+        model = language_id.train(some, F.lit(True))
+        language_id.label_spans(some, model)
+        simhash.fingerprints(some)
+        simhash.links(some.select("fp"))
+        decontaminate.contaminated(some, items)
+    task = dict(zip(["encode", "train", "label", "fingerprints", "links", "contaminated"], functions, strict=True))
+    rows = pa.RecordBatch.from_pydict({"id": [1], "text": ["some words"]})
+    assert sum(b.num_rows for b in task["encode"](iter([rows]))) == 1
+    held = [o for o in gc.get_objects() if isinstance(o, PieceModel)]
+    assert any("▁words" in o._words for o in held)
+    gone = [weakref.ref(o) for o in held]
+    del held
+    list(task[after](iter([])))
+    gc.collect()
+    assert not any(r() for r in gone)
+
+
 def test_benchmark_blocks_give_what_one_block_gives(spark):
     a, b, c, d, e = map(numbered_words, range(5))
     rows = [(None, a), (None, b), (None, f"{c} {d}"), (1, e), (1, f"x {a} y {c}"), (2, None)]
