@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,22 @@ WORD_JAVA = r"[^\x20\x09-\x0D]+"
 LOWER_AZ = {c: c + 32 for c in range(65, 91)}
 
 
+def latin_table(word: re.Pattern, lower: bool = False) -> bytes:
+    """For each character below 256: itself, or in lower case, if ``word`` takes it so, and a space if not."""
+    chars = [chr(c).lower() if lower else chr(c) for c in range(256)]
+    return "".join(c if word.fullmatch(c) else " " for c in chars).encode("latin-1")
+
+
+def latin_words(text: str, table: bytes, most: int) -> list[str] | None:
+    """The words that ``table`` leaves of a text; None if it has a character from 256 on, or a word over ``most`` characters."""
+    try:
+        codes = text.encode("latin-1").translate(table)
+    except UnicodeEncodeError:
+        return None
+    gaps = np.flatnonzero(np.frombuffer(b" %b " % codes, np.uint8) == 32)
+    return codes.decode("latin-1").split() if (gaps[1:] - gaps[:-1]).max() <= most + 1 else None
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

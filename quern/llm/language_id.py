@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import carried, lean, text_slices
+from quern.llm.common import carried, latin_table, latin_words, lean, text_slices
 
 UND = "und"
 #: Letters in a word at most.
 MOST = 40
 LETTERS = re.compile(r"[^\W\d_]{1,%d}" % MOST)
+_LATIN = latin_table(LETTERS)
 #: Beyond the first script.
 _WIDE = re.compile("[\u0370-\U0010ffff]")
 ORDERS = (1, 2, 3, 4)
@@ -72,6 +73,9 @@ def places(text: str) -> list[tuple[int, int]]:
 
 
 def words_of(text: str) -> list[str]:
+    found = latin_words(text, _LATIN, MOST)
+    if found is not None:
+        return found
     return [text[a:b] for a, b in places(text)] if _WIDE.search(text) else LETTERS.findall(text)
 
 

@@ -25,17 +25,17 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches, text_slices, written
+from quern.llm.common import latin_table, latin_words, small_batches, text_slices, written
 from quern.llm.language_id import LanguageModel, gram_buckets
 
 CUT = 0.3
@@ -50,18 +50,53 @@ SHARD_CHARS, READ_CHARS, LEAST_ROUNDS, MOST_ROUNDS = 48 << 20, 150 << 20, 4, 20
 FINE = 1024
 #: Parts of the network that are averaged by themselves.
 CHUNKS = 16
-#: A run of letters and digits, or a piece of 40 of a longer run.
-TOKEN = re.compile(r"[^\W_]{1,40}")
+#: Words that filters slide over at once, so that what they give is near at hand; a text that is scored is not cut.
+SOME_WORDS = 1 << 12
+#: Characters of a word.
+MOST = 40
+#: A run of letters and digits, or a piece of ``MOST`` of a longer run.
+TOKEN = re.compile(r"[^\W_]{1,%d}" % MOST)
+_LATIN = latin_table(TOKEN, lower=True)
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def crc32s(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """crc32 of each run of bytes; all runs step together, the longest first."""
+    order = np.argsort(-lengths, kind="stable")
+    at, left = starts[order], lengths[order]
+    state = np.full(len(order), 0xFFFFFFFF, np.uint32)
+    for j, n in enumerate(np.searchsorted(-left, -np.arange(1, left.max(initial=0) + 1), "right")):  # runs with a byte at j
+        state[:n] = _CRC[(state[:n] ^ codes[at[:n] + j]) & 255] ^ state[:n] >> 8
+    out = np.empty_like(state)
+    out[order] = ~state
+    return out
 
 
 def hashed(words: list[str]) -> np.ndarray:
-    """Rows of the embedding table for each word: itself, its first four and its first six characters."""
-    crc = zlib.crc32
-    return np.array([[crc(w.encode()) % BUCKETS, BUCKETS + crc(w[:4].encode()) % BUCKETS, 2 * BUCKETS + crc(w[:6].encode()) % BUCKETS] for w in words], np.int32).reshape(-1, PARTS)
+    """Rows of the embedding table for each word: itself, its first four and its first six characters, by crc32."""
+    codes = np.frombuffer("".join(words).encode(), np.uint8)
+    chars = np.fromiter(map(len, words), np.int64, len(words))
+    places = np.append(np.flatnonzero(codes & 0xC0 != 0x80), len(codes))  # where characters begin
+    first = np.cumsum(chars) - chars
+    starts = places[first]
+    parts = [crc32s(codes, starts, places[first + np.minimum(chars, most)] - starts) % BUCKETS for most in (chars, 4, 6)]
+    return (np.stack(parts, axis=1) + np.arange(PARTS, dtype=np.uint32) * BUCKETS).astype(np.int32)
 
 
 def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall(text.lower()) if text else []
+    if not text:
+        return []
+    found = latin_words(text, _LATIN, MOST)
+    return TOKEN.findall(text.lower()) if found is None else found
 
 
 @dataclass
@@ -100,26 +135,31 @@ class Network:
         return net
 
     def maps(self, words: np.ndarray) -> np.ndarray:
-        """Filter outputs at each word of texts laid out with empty words between them."""
+        """Outputs of each filter (a row) at each word (a column) of texts laid out with empty words between them."""
         flat = np.concatenate([f for w in self.filters for f in w], axis=1)  # SIZE x (sum of widths * FILTERS)
-        each = words @ flat
-        out = np.empty((len(words), len(WIDTHS) * FILTERS), np.float32)
-        column = 0
+        each = flat.T @ words.T
+        out = np.empty((len(WIDTHS) * FILTERS, len(words)), np.float32)
+        row = 0
         for k, w in enumerate(WIDTHS):
-            sums = each[:, column : column + FILTERS].copy()
+            sums = out[k * FILTERS : (k + 1) * FILTERS]
+            sums[:] = each[row : row + FILTERS]
             for j in range(1, w):
-                sums[: len(words) - j] += each[j:, column + j * FILTERS : column + (j + 1) * FILTERS]
-            out[:, k * FILTERS : (k + 1) * FILTERS] = sums
-            column += w * FILTERS
+                sums[:, : len(words) - j] += each[row + j * FILTERS : row + (j + 1) * FILTERS, j:]
+            row += w * FILTERS
         return out
 
     def logits(self, embedded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Raw scores of texts whose words begin at ``starts``: filters begin at each word and at the first empty one."""
         cuts = np.stack([starts, starts + lengths + 1], axis=1).ravel()
-        pooled = np.maximum.reduceat(self.maps(embedded), cuts, axis=0)[::2]
+        pooled = np.maximum.reduceat(self.maps(embedded), cuts, axis=1)[:, ::2].T
         return np.maximum(pooled + self.bias, 0) @ self.out + self.out_bias[0]
 
 
+def neighbours(sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of neighbours whose sizes make about ``most`` together, one at least."""
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1)
+
+
 def layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(place of each word, start of each text, total) with as many empty words after each text as a filter can reach.
 
@@ -143,15 +183,16 @@ def peaks(net: Network, texts: list[np.ndarray], most_words: int) -> tuple[np.nd
         places, starts, total = layout(np.array([len(p) for p in parts]))
         words = np.zeros((total, SIZE), np.float32)
         ids = np.concatenate(parts)
-        words[places] = net.table[ids[:, 0]]
+        embedded = net.table[ids[:, 0]]
         for part in range(1, PARTS):
-            words[places] += net.table[ids[:, part]]
+            embedded += net.table[ids[:, part]]
+        words[places] = embedded
         maps = net.maps(words)
         for (i, a), start in zip(mine, starts, strict=True):
             rest = len(texts[i]) - a
-            found = maps[start : start + (most_words if rest > most_words else rest + 1)]
-            at = found.argmax(axis=0)
-            value = found[at, np.arange(found.shape[1])]
+            found = maps[:, start : start + (most_words if rest > most_words else rest + 1)]
+            at = found.argmax(axis=1)
+            value = found[np.arange(len(found)), at]
             higher = value > best[i]
             best[i][higher], top[i][higher] = value[higher], at[higher] + a
     return best, top
@@ -177,7 +218,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 15, batch_wor
             lengths = np.array([len(t) for t in mine])
             first = (np.cumsum(lengths) - lengths)[:, None]
             ids = np.concatenate([*mine, np.zeros((1, PARTS), mine[0].dtype)])
-            highest, top = peaks(net, mine, batch_words)
+            highest, top = peaks(net, mine, SOME_WORDS)
             pooled = highest + net.bias
             active = np.maximum(pooled, 0)
             raw = active @ net.out + net.out_bias[0]
@@ -313,11 +354,12 @@ class ToxicityModel:
     thresholds: dict[str, float]
     default: float
     most_words: int = 300_000
-    _rows: dict[str, int] = field(default_factory=dict, repr=False)
+    _rows: dict[str, int] | None = field(default=None, repr=False)
     _words: np.ndarray | None = field(default=None, repr=False)
+    _met: np.ndarray | None = field(default=None, repr=False)  # how often each word was met
 
     def __getstate__(self):
-        return self.__dict__ | {"_rows": {}, "_words": None}
+        return self.__dict__ | {"_rows": None, "_words": None, "_met": None}
 
     def _features(self, words: list[str]) -> np.ndarray:
         """Embedding and language scores of each word."""
@@ -329,41 +371,57 @@ class ToxicityModel:
         scores = np.maximum(scores - scores.max(axis=1, keepdims=True), -12)
         return np.concatenate([embedded, scores], axis=1).astype(np.float32)
 
-    def _ids(self, words: list[str]) -> np.ndarray:
-        rows = self._rows
-        new = list(set(words).difference(rows))
-        if len(rows) + len(new) > self.most_words:
-            rows.clear()
-            new = list(set(words))
+    def _ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Rows of ``_words`` for the words of each text, from 1 on; row 0 is an empty word's."""
+        rows, self._rows = self._rows, None  # not there again before its words are
+        if rows is None:
+            rows, self._met = defaultdict(count(1).__next__), np.zeros(1, np.int64)
+        elif len(rows) > self.most_words:  # the half met most often stays
+            stay = np.sort(np.argsort(-self._met[1:], kind="stable")[: self.most_words // 2])
+            names = list(rows)
+            rows = defaultdict(count(1 + len(stay)).__next__, zip(map(names.__getitem__, stay.tolist()), count(1)))
+            self._words[1 : 1 + len(stay)] = self._words[1 + stay]
+            self._met = np.append(0, self._met[1 + stay] // 2)
+        first, row_of = len(rows), rows.__getitem__
+        ids = []
+        for text in texts:
+            words = tokens(text)  # gone before the next text's, while the cache holds them
+            ids.append(np.fromiter(map(row_of, words), np.int32, len(words)))
+        need = 1 + len(rows)
+        if self._words is None or need > len(self._words):
+            grown = np.zeros((2 * need, SIZE + len(self.langs.langs)), np.float32)
+            if self._words is not None:
+                grown[: first + 1] = self._words[: first + 1]
+            self._words = grown
+        new = list(islice(reversed(rows), len(rows) - first))[::-1]
         if new:
-            first, need = len(rows), len(rows) + len(new)
-            if self._words is None or need > len(self._words):
-                grown = np.zeros((2 * need, SIZE + len(self.langs.langs)), np.float32)
-                if self._words is not None:
-                    grown[:first] = self._words[:first]
-                self._words = grown
-            self._words[first:need] = self._features(new)
-            rows.update(zip(new, range(first, need), strict=True))
-        return np.fromiter(map(rows.__getitem__, words), np.int32, len(words))
+            self._words[first + 1 : need] = self._features(new)
+        met = np.bincount(np.concatenate(ids), minlength=need)
+        met[: first + 1] += self._met
+        self._rows, self._met = rows, met
+        return ids
 
     def raw(self, texts: list[str | None], most_bytes: int = 1 << 19) -> tuple[np.ndarray, list[str]]:
         """Raw scores and languages of texts, a few at a time by their bytes."""
-        place = np.cumsum([len(t or "") for t in texts]) // most_bytes
-        groups = np.split(np.arange(len(texts)), np.flatnonzero(np.diff(place)) + 1)
+        groups = neighbours(np.array([len(t or "") for t in texts]), most_bytes)
         found = [self._raw([texts[i] for i in group]) for group in groups]
         return np.concatenate([raw for raw, _ in found]), [name for _, names in found for name in names]
 
     def _raw(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
-        cut = [tokens(t) for t in texts]
-        lengths = np.array([len(c) for c in cut])
-        places, starts, total = layout(lengths)
-        table = np.zeros((total, SIZE + len(self.langs.langs)), np.float32)
-        if lengths.sum():
-            ids = self._ids([w for c in cut for w in c])
-            table[places] = self._words[ids]
-        scores = np.add.reduceat(table[:, SIZE:], starts, axis=0) if self.langs.langs else np.zeros((len(texts), 0))
-        named = [self.langs.langs[s.argmax()] if n and len(s) else "" for s, n in zip(scores, lengths, strict=True)]
-        return self.net.logits(np.ascontiguousarray(table[:, :SIZE]), starts, lengths), named
+        found = self._ids(texts)
+        lengths = np.array([len(ids) for ids in found])
+        ids, ends = np.concatenate(found), np.cumsum(lengths)
+        raw, named = np.empty(len(texts), np.float32), []
+        for group in neighbours(lengths, SOME_WORDS):
+            mine = lengths[group]
+            places, starts, total = layout(mine)
+            rows = np.zeros(total, np.int32)
+            rows[places] = ids[ends[group[0]] - mine[0] : ends[group[-1]]]
+            table = self._words[rows]
+            raw[group] = self.net.logits(table[:, :SIZE], starts, mine)
+            scores = np.add.reduceat(table[:, SIZE:], starts, axis=0) if self.langs.langs else np.zeros((len(mine), 0))
+            named += [self.langs.langs[s.argmax()] if n and len(s) else "" for s, n in zip(scores, mine, strict=True)]
+        return raw, named
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.net is None or not texts:

@@ -527,6 +527,40 @@ def test_equal_raw_scores_are_not_parted():
     assert toxicity.best_threshold(raw, labels, weight) == 1.5
 
 
+def test_words_of_latin_texts_are_those_of_the_patterns():
+    rng = random.Random(4)
+    latin = [chr(c) for c in range(256)]
+    pools = [latin, "ab1_ \xe9", "aB\xc0\xdf\xb2\xbd\xb5\xaa \x85\xa0\x1c", [*latin, "\u03a3", "\u03c2", "\u0130", "\u017f", "\u4e2d", "\u0301"], "abcdefghij" * 10 + "- "]
+    for _ in range(2000):
+        text = "".join(rng.choices(rng.choice(pools), k=rng.randint(0, 200)))
+        assert toxicity.tokens(text) == toxicity.TOKEN.findall(text.lower())
+        assert language_id.words_of(text) == [text[a:b] for a, b in language_id.places(text)]
+
+
+def test_rows_of_words_are_by_crc32():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abc19\xe9\u4e2d\U00020000", k=rng.randint(1, 60))) for _ in range(500)]
+    want = [[part * toxicity.BUCKETS + zlib.crc32(w[:most].encode()) % toxicity.BUCKETS for part, most in enumerate((None, 4, 6))] for w in words]
+    assert toxicity.hashed(words).tolist() == want and toxicity.hashed([]).shape == (0, toxicity.PARTS)
+
+
+def test_words_met_often_are_worked_out_once(monkeypatch):
+    """Whatever a worker forgets: words of most texts stay, and scores are those of a worker that forgets nothing."""
+    asked: collections.Counter = collections.Counter()
+    features = toxicity.ToxicityModel._features
+    monkeypatch.setattr(toxicity.ToxicityModel, "_features", lambda model, words: asked.update(words) or features(model, words))
+    uses = np.zeros((len(language_id.SCRIPTS), 2), bool)
+    logp = np.random.default_rng(3).normal(size=(64, 2)).astype(np.float32)
+    texts = [" ".join([f"often{j}" for j in range(10)] * 2 + [f"once{k}x{j}" for j in range(30)]) for k in range(40)] + ["", None]
+    found = []
+    for most in (10**6, 60):
+        asked.clear()
+        model = toxicity.ToxicityModel(toxicity.Network.fresh(3), language_id.LanguageModel(["a", "b"], logp, uses), {}, 0.0, most)
+        found.append([model.raw([t]) for t in texts])
+        assert max(asked.values()) == 1 and len(asked) == 10 + 30 * 40
+    assert all(a == b for a, b in zip(*found, strict=True))
+
+
 def test_sentence_runs_against_tuples(spark):
     """Texts of known sentences: runs as tuples of their words, covered places counted by hand."""
     rng = random.Random(12)
