@@ -32,7 +32,8 @@ class Engine:
 
     def plan(self, tokens: list[Token]) -> DataFrame:
         types = self.catalog.bind(tokens)
-        return self.spark.sql(rewrite(self.modules.mangle(tokens, types), self.modules.structs(), types, self.catalog.size))
+        tables = self.catalog
+        return self.spark.sql(rewrite(self.modules.mangle(tokens, types), self.modules.structs(), types, tables.size, tables.columns, tables.counts))
 
     def run(self, text: str) -> list[DataFrame]:
         """Runs all statements; the result has a DataFrame for each query."""

@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Mapping
+from functools import reduce
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.relational import planned_bytes
 from quern.plans.tokens import Token, from_items, given_names
 
 
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+_NESTED = ("array", "map", "struct", "variant")
+
+
+def _ranges(column: str) -> list[Column]:
+    return [F.min(column).cast("bigint"), F.max(column).cast("bigint")]
+
+
+def _sketches(column: str) -> list[Column]:
+    return [F.approx_count_distinct(column)]
+
+
+def _summed(spark: SparkSession, path: Callable[[str], str], wanted: Mapping[str, list[str]], of: Callable[[str], list[Column]]) -> dict[str, list[int]]:
+    """Of each table its rows, then what ``of`` makes of each column; one job for all tables."""
+    parts = []
+    for name, columns in wanted.items():
+        made = [F.count(F.lit(1)), *(x for c in columns for x in of(f"`{c}`"))]
+        row = spark.read.parquet(path(name)).agg(*[x.alias(f"_{k}") for k, x in enumerate(made)])
+        parts.append(row.select(F.lit(name).alias("name"), F.array(*[f"_{k}" for k in range(len(made))]).alias("numbers")))
+    return {name: [numbers[0] or 0, *numbers[1:]] for name, numbers in reduce(DataFrame.union, parts).collect()}
+
+
 class Catalog:
     """The tables of one data folder (local, or any path that Spark reads), as views of one session."""
 
     def __init__(self, spark: SparkSession, data: str):
         self.spark, self.data = spark, data.rstrip("/")
         self._views: dict[str, dict[str, str]] = {}
+        self._counts: dict[str, tuple[int, dict[str, int]]] = {}
 
     def path(self, name: str) -> str:
         return name if name.endswith(".parquet") else f"{self.data}/{name}.parquet"
@@ -52,6 +80,39 @@ class Catalog:
         """Bytes of a table that a query has named, as planned."""
         return planned_bytes(self.spark.table(f"`{name}`")) if name in self._views else None
 
+    def columns(self, name: str) -> Mapping[str, str]:
+        """The columns of a table that a query has named, with their types."""
+        return self._views[name]
+
+    def counts(self, wanted: Mapping[str, set[str]]) -> dict[str, tuple[int, dict[str, int]]]:
+        """Rows of tables, and how many distinct values these columns (lower-case names) have, at most or about.
+
+        Rows and ranges of integers come from the footers of the files, without reading rows; an integer column has no
+        more values than its range. Values of other columns are counted by a sketch over all rows.
+        """
+        new = {n: {c.lower(): kind for c, kind in self._views[n].items() if c.lower() in cs and c.lower() not in self._counts.get(n, (0, {}))[1]} for n, cs in wanted.items()}
+        whole = {n: [c for c, kind in kinds.items() if kind in _INTEGERS] for n, kinds in new.items() if kinds or n not in self._counts}
+        if whole:
+            try:
+                found = _summed(self._footers(), self.path, whole, _ranges)
+            except (PySparkException, Py4JError):  # files without such statistics
+                found = _summed(self.spark, self.path, whole, _ranges)
+            for n, (rows, *ends) in found.items():
+                known = self._counts.setdefault(n, (rows, {}))[1]
+                known |= {c: min(rows, high - low + 1) for c, low, high in zip(whole[n], ends[::2], ends[1::2], strict=True) if low is not None}
+        rest = {n: cs for n, kinds in new.items() if (cs := [c for c, kind in kinds.items() if kind not in _INTEGERS and not kind.startswith(_NESTED)])}
+        if rest:
+            for n, (_, *distinct) in _summed(self.spark, self.path, rest, _sketches).items():
+                self._counts[n][1].update(zip(rest[n], distinct, strict=True))
+        return {n: self._counts[n] for n in wanted}
+
+    def _footers(self) -> SparkSession:
+        """A session in which count, min and max of whole Parquet tables come from the files' footers."""
+        child = self.spark.newSession()
+        child.conf.set("spark.sql.sources.useV1SourceList", "")
+        child.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+        return child
+
     def describe(self, name: str) -> list[tuple[str, str]]:
         """(column, type) of a table."""
         return self.table(name).dtypes

@@ -1,6 +1,7 @@
 """The dialect, catalog, modules, sinks, rewrites and command line; small fixtures with known rows."""
 
 import io
+import re
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from quern import cli
 from quern.engine import Engine
 from quern.operators import relational as R
-from quern.plans import rewrites
+from quern.plans import join_order, rewrites, suite
 from quern.plans.dialect import dialect, rewrite
 from quern.plans.tokens import DialectError, from_items, statements, text_of, tokenize
 from quern.sources import sinks
@@ -103,6 +104,51 @@ def test_small_tables_come_first(engine):
         assert rewrite(tokenize(kept), {}, {}, {"lineitem": 3, "region": 1}.get) == kept
 
 
+def joined(spark, name):
+    """First letters of the columns of the tables of a registered query, in the order in which it joins them."""
+    df = suite.queries()[name](spark, "/root/testdata/sf0.1")
+    return re.findall(r"Relation \[(\w)_", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_tpch_q7_does_not_multiply_suppliers_by_customers(spark):
+    order = joined(spark, "tpch_q7")
+    assert sorted(order) == ["c", "l", "n", "n", "o", "s"]
+    assert order.index("l") < max(order.index("s"), order.index("c"))
+
+
+def test_join_order_by_estimated_rows():
+    given = join_order.Conditions([((0, "g"), (1, "g")), ((0, "k"), (2, "a")), ((1, "k"), (2, "b"))], [])
+    counts = [(1000, {"k": 1000, "g": 2}), (1000, {"k": 1000, "g": 2}), (5000, {"a": 1000, "b": 1000})]
+    assert join_order.order([1, 2, 3], given, counts) == [0, 2, 1]
+    assert join_order.order([1, 2, 3], given, [(1000, {"k": 1000, "g": 1000}), (1000, {"k": 1000, "g": 1000}), (5000, {"a": 1000, "b": 1000})]) == [0, 1, 2]
+    chain = join_order.Conditions([((k, "x"), (k + 1, "y")) for k in range(13)], [(frozenset((12,)), 0.001)])
+    assert sorted(join_order.order([9] * 14, chain, [(100, {"x": 10, "y": 100})] * 14)) == list(range(14))
+
+
+def test_conditions_of_a_join():
+    text = "(a.k = b.k AND (x BETWEEN 1 AND 2)) AND \"Z\" = 'AND' AND (a.k = 1 OR b.k = 2) AND CASE WHEN x = 1 AND y = 2 THEN y = 3 ELSE y = z END AND y = z + 1 AND k IN (SELECT k FROM b WHERE x = y) AND x = q"
+    found = join_order.conditions(tokenize(text), ["a", "b"], [["k", "x", "z"], ["k", "y"]])
+    assert found.equal == [((0, "k"), (1, "k"))]
+    assert [sorted(tables) for tables, _ in found.other] == [[0], [0], [0, 1], [0, 1], [0, 1], [0]]
+    assert [share == 0.1 for _, share in found.other] == [False, True, False, False, False, True]
+    whole = join_order.conditions(tokenize("a.k = b.k AND x = 1 OR y = 2"), ["a", "b"], [["k", "x", "z"], ["k", "y"]])
+    assert (whole.equal, [sorted(tables) for tables, _ in whole.other]) == ([], [[0, 1]])
+
+
+def test_counts_of_tables(spark, tmp_path):
+    spark.sql("SELECT id AS k, CAST(if(id % 2 = 0, id % 5, NULL) AS INT) AS G, CAST(id % 7 AS STRING) AS t, CAST(NULL AS INT) AS n FROM range(1000)").write.parquet(str(tmp_path / "some.parquet"))
+    spark.sql("SELECT id AS a FROM range(0)").write.parquet(str(tmp_path / "none.parquet"))
+    spark.sql("SELECT id AS b FROM range(9)").write.option("parquet.column.statistics.enabled", "false").parquet(str(tmp_path / "plain.parquet"))
+    engine = Engine(spark, str(tmp_path))
+    engine.sql("SELECT 1 AS x FROM some, none, plain")
+    counts = engine.catalog.counts
+    assert counts({"some": {"k", "g"}, "none": {"a"}}) == {"some": (1000, {"k": 1000, "g": 5}), "none": (0, {})}
+    assert counts({"some": {"t"}})["some"][1]["t"] == 7
+    assert counts({"some": {"n"}, "plain": {"b"}}) == {"some": (1000, {"k": 1000, "g": 5, "t": 7}), "plain": (9, {"b": 9})}
+    assert got(engine, "SELECT count(k) FROM some, none, plain WHERE k = a AND b = k") == [(0,)]
+    assert got(engine, "SELECT count(s.t) FROM plain, some s, some u WHERE s.t = u.t AND b = s.k AND u.n IS NULL") == got(engine, "SELECT count(s.t) FROM plain JOIN some s ON b = s.k JOIN some u ON s.t = u.t WHERE u.n IS NULL")
+
+
 def test_windows_are_no_filters(engine):
     with pytest.raises(AnalysisException):
         engine.sql("select n_name from nation where rank() over (order by n_name) = 1")
