@@ -116,6 +116,13 @@ def test_tpch_q7_does_not_multiply_suppliers_by_customers(spark):
     assert order.index("l") < max(order.index("s"), order.index("c"))
 
 
+def test_tpch_q5_does_not_multiply_suppliers_by_customers(spark):
+    order = joined(spark, "tpch_q5")
+    assert sorted(order) == ["c", "l", "n", "o", "r", "s"]
+    assert order.index("l") < max(order.index("s"), order.index("c"))
+    assert order[:3] == ["r", "n", "s"]  # the region's filter comes early
+
+
 def test_join_order_by_estimated_rows():
     given = join_order.Conditions([((0, "g"), (1, "g")), ((0, "k"), (2, "a")), ((1, "k"), (2, "b"))], [])
     counts = [(1000, {"k": 1000, "g": 2}), (1000, {"k": 1000, "g": 2}), (5000, {"a": 1000, "b": 1000})]
